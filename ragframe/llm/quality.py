@@ -62,17 +62,10 @@ def _stays(x: Column, r: Rules) -> Column:
     shouts = _count(line, "[^!?]+")
     bars = _count(line, "[^|>»·•]+")
     symbols = _count(line, "[^#*$%&|<>]+")
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for p in r.boilerplate:
-        phrase = phrase | F.contains(low, F.lit(p))
-    bad = (
-        ((n >= r.unpunctuated_words) & ~line.rlike("[.!?…:;]"))
-        | ((n >= 4) & (shouts > n * r.shouting_share))
-        | ((bars >= 2) & (bars >= n * r.separator_share))
-        | (symbols > n * r.symbols_per_word)
-        | ((n <= r.boilerplate_words) & phrase)
-    )
+    phrase = F.lower(line).rlike("|".join(r.boilerplate)) if r.boilerplate else F.lit(False)
+    counted = ((n >= 4) & (shouts > n * r.shouting_share)) | ((bars >= 2) & (bars >= n * r.separator_share)) | (symbols > n * r.symbols_per_word)
+    # most lines have none of these characters, and need no counts
+    bad = (line.rlike("[!?|>»·•#*$%&<]") & counted) | ((n >= r.unpunctuated_words) & ~line.rlike("[.!?…:;]")) | ((n <= r.boilerplate_words) & phrase)
     return (n == 0) | ~bad
 
 
