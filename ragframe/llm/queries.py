@@ -23,6 +23,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragframe.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragframe.llm.tokens import sentencepiece_codes
 
@@ -31,6 +37,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op4_packing": op4_packing,
     "op6_sentencepiece": op6_sentencepiece,
 }
 
