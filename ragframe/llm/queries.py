@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragframe.llm.common import table
+from ragframe.llm.common import crc_mod, table
 from ragframe.llm.quality import quality_sql
 
 
@@ -23,6 +24,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragframe.llm import toxicity as t
+
+    docs, s = table(spark, sf_dir, "documents").select("doc_id", "text"), t.Settings()
+    model = t.train(t.training_sample(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 4) != 2, "text", "toxic", "doc_id", s), s)
+    found = t.toxicity(docs, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragframe.llm.packing import pack
 
@@ -35,10 +45,21 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codes(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragframe.llm import language as g
+
+    docs, s = table(spark, sf_dir, "documents"), g.Settings()
+    model = g.train(g.training_sample(docs, crc_mod(F.col("doc_id"), 5) != 0, "text", "lang", "doc_id", s), s)
+    found = g.identify(docs, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_language": op9_language,
 }
 
 ORACLES: dict[str, str] = {
