@@ -39,6 +39,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragframe.llm.ngrams import language_model
+
+    held_out = crc_mod(F.col("doc_id"), 10) == 0
+    found = language_model(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragframe.llm.tokens import sentencepiece_codes
 
@@ -58,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
+    "op5_language_model": op5_language_model,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_language": op9_language,
 }
