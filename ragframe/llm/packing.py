@@ -9,6 +9,7 @@ What the best island leaves in loosely filled bins goes to the next level's regi
 from __future__ import annotations
 
 import bisect
+import os
 import random
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import arrow_batches, cut, pieces, text_bytes, word_hashes
+from ragframe.llm.common import arrow_batches, cut, pieces, prefix_hash, span_hash, text_bytes, words
 from ragframe.llm.tokens import PartTable, gather
 
 
@@ -40,28 +41,71 @@ class Packing:
     settled: float = 0.98
 
 
+#: Stands between parts that are encoded together: one pre-token and one id of its own.
+BETWEEN = "\x02"
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[ord("'")] = 0  # contractions begin with it
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+
+
+def at_class_changes(d: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where an ASCII letter, digit or punctuation mark follows another of these kinds."""
+    c = _CLASS[d]
+    inside = np.zeros(len(d) + 1, bool)
+    inside[1:-1] = (c[1:] != c[:-1]) & (c[1:] > 0) & (c[:-1] > 0)
+    cuts = np.flatnonzero(inside)
+    s, e = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
+    return row[np.searchsorted(start, s, "right") - 1], s, e
+
+
+def encode_parts(tok, parts: list[str], at_once: int = 2000) -> list[bytes]:
+    """Ids of each part as bytes. Parts go to the tokenizer together, between marks; its objects for each call are large."""
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    mark = ids(BETWEEN)[0]
+    out = []
+    for i in range(0, len(parts), at_once):
+        own = parts[i : i + at_once]
+        got = np.array(ids(f" {BETWEEN} ".join([*own, ""])), "<u4")
+        at = np.flatnonzero(got == mark)
+        if len(at) == len(own):
+            out += [got[a:b].tobytes() for a, b in zip(np.append(0, at[:-1] + 1).tolist(), at.tolist(), strict=True)]
+        else:  # a part holds the mark itself
+            out += [np.array(ids(p), "<u4").tobytes() for p in own]
+    return out
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, p: Packing, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, row (tells repeated keys apart), piece, start, length, ids_crc32 of every document's ids with the separator after them.
 
-    Words (between ASCII white space, which no pre-token crosses) are encoded once for each batch's table and joined by position.
+    Parts that no pre-token crosses (words, cut again where ASCII letters, digits and punctuation meet) are encoded once for each
+    task's table, in either case alike, and joined by position.
     """
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer)
         tok.no_truncation()
         tok.no_padding()
-        known = PartTable(lambda parts: [(np.array(e.ids, "<u4").tobytes(), b"") for e in tok.encode_batch(parts, add_special_tokens=False)])
+        special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+        known = PartTable(lambda parts: [(x, b"") for x in encode_parts(tok, parts)])
         for b in batches:
             data, off = text_bytes(b.column(2))
             out: list[list] = [[], [], [], [], [], []]
             keys, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in pieces(off):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                row, start, end, h = word_hashes(d, o)
-                values, inv = known.look_up(d.tobytes(), start, end, h) if len(h) else ([], np.zeros(0, np.int64))
+                raw = d.tobytes()
+                plain = not any(x in raw for x in special)
+                row, start, end = words(d, o)
+                if plain:
+                    row, start, end = at_class_changes(d, row, start, end)
+                h = span_hash(prefix_hash(d, lower=plain), start, end)
+                values, inv = known.look_up(raw, start, end, h) if len(h) else ([], np.zeros(0, np.int64))
                 ids, n = gather([v[0] for v in values], inv, 4)
                 ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(row, np.arange(j - i + 1))]
                 for k in range(j - i):
