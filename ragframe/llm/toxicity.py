@@ -25,9 +25,9 @@ class Settings:
     """The sample's bounds and the network's size."""
 
     #: Labelled documents that the network learns from: those labelled 1, those labelled 0, and the longest taken (characters).
-    sample: int = 1200
-    clean_sample: int = 4000
-    sample_chars: int = 6000
+    sample: int = 1000
+    clean_sample: int = 2800
+    sample_chars: int = 4000
     window: int = 24
     stride: int = 12
     hidden: int = 8
@@ -80,9 +80,9 @@ class Words:
         for g in s.grams:
             m = np.maximum(0, n + 2 - g + 1)
             p = np.repeat(head, m) + spread(m)
-            owner.append(np.repeat(np.arange(len(n)), m))
-            gram.append(span_hash(sums, p, p + g) % np.uint64(s.char_buckets))
-        owner, gram = np.concatenate(owner), np.concatenate(gram).astype(np.int64)
+            owner.append(np.repeat(np.arange(len(n), dtype=np.int32), m))
+            gram.append((span_hash(sums, p, p + g) % np.uint64(s.char_buckets)).astype(np.int32))
+        owner, gram = np.concatenate(owner), np.concatenate(gram)
         order = np.argsort(owner, kind="stable")
         self.owner, self.gram = owner[order], gram[order]
         self.n_grams = np.maximum(1, np.bincount(self.owner, minlength=len(u)))
@@ -102,12 +102,12 @@ class Words:
 
     def inputs(self, p: dict) -> np.ndarray:
         """Inputs of the distinct words, (inputs, word)."""
-        c = p["C"][self.gram]
-        total = np.zeros((len(self.n_grams), c.shape[1]), F32)
-        has = np.bincount(self.owner, minlength=len(self.n_grams)) > 0
-        if len(self.gram):
-            first = np.searchsorted(self.owner, np.flatnonzero(has))
-            total[has] = np.add.reduceat(c, first, axis=0)
+        total = np.zeros((len(self.n_grams), p["C"].shape[1]), F32)
+        has = np.flatnonzero(np.bincount(self.owner, minlength=len(self.n_grams)))
+        first = np.append(np.searchsorted(self.owner, has), len(self.owner))
+        for i in range(0, len(has), 8192):  # the n-grams' rows are many times the words'
+            j = min(len(has), i + 8192)
+            total[has[i:j]] = np.add.reduceat(p["C"][self.gram[first[i] : first[j]]], first[i:j] - first[i], axis=0)
         total /= np.sqrt(self.n_grams)[:, None].astype(F32)
         return np.concatenate([p["E"][self.bucket], total], 1).T
 
