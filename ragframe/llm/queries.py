@@ -33,6 +33,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragframe.llm.neighbours import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragframe.llm.packing import pack
 
@@ -71,6 +77,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_neighbours": op3_neighbours,
     "op4_packing": op4_packing,
     "op5_language_model": op5_language_model,
     "op6_sentencepiece": op6_sentencepiece,
