@@ -65,6 +65,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragframe.llm.privacy import personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragframe.llm import language as g
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_model": op5_language_model,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_privacy": op8_privacy,
     "op9_language": op9_language,
 }
 
