@@ -81,6 +81,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragframe.llm.warc import derivatives, responses
+
+    found = derivatives(responses(table(spark, sf_dir, "pages")))
+    return found.withColumn("block", F.when(F.col("warc_type") == "conversion", F.col("block").cast("string"))).withColumnRenamed("block", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_privacy": op8_privacy,
     "op9_language": op9_language,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
