@@ -98,13 +98,15 @@ def samples(row: np.ndarray, sh: np.ndarray, weight: np.ndarray, n_rows: int, n:
     return out
 
 
-def copies(docs: DataFrame, key: str, text: str) -> DataFrame:
+def copies(docs: DataFrame, key: str, text: str, salts: int = 32) -> DataFrame:
     """Each key with `first`, the smallest key of its exact copies; null and blank texts are copies of none."""
     t = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     blank = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     h = t.select("id", F.when(~blank, F.md5(F.col("text").cast("binary"))).alias("h"))
-    firsts = h.filter(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("first"))
-    return h.join(firsts, "h", "left").select("id", F.coalesce("first", "id").alias("first"))
+    firsts = h.filter(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a text may be copied without bound, so its copies are dealt over `salts` places
+    dealt = firsts.select("h", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return h.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(dealt, ["h", "salt"], "left").select("id", F.coalesce("first", "id").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
