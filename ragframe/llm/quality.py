@@ -106,7 +106,9 @@ def quality(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
     df = df.withColumn("n_kept_words", F.aggregate("_k", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     df = df.withColumn("clean_text", F.array_join(F.transform("_k", lambda x: x["line"]), "\n"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeated_percent))
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * rules.least_kept_share))
+    # always true, and never pushed down: a filter by `kept` would else repeat all that stands above inside its condition
+    here = F.monotonically_increasing_id() >= 0
+    df = df.withColumn("kept", here & ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * rules.least_kept_share))
     return df.select(*[docs[c] if c == text and c in new else F.col(c) for c in docs.columns], *[c for c in new])
 
 
