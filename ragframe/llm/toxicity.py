@@ -37,6 +37,8 @@ class Settings:
     char_buckets: int = 32768
     grams: tuple[int, ...] = (3, 4, 5)
     epochs: int = 7
+    #: Steps of an epoch at least.
+    steps: int = 12
     batch: int = 256
     #: Windows of documents that aren't toxic, for each toxic example: so many that score highest, and so many at random.
     negatives: int = 3
@@ -191,10 +193,12 @@ def train(sample: list[tuple[str, int]], s: Settings) -> dict:
             hard = np.unique(np.concatenate([top, rng.choice(neg, min(len(neg), s.negatives * len(mine)), replace=False)]))
         o = np.concatenate([mine, hard])
         t = np.concatenate([np.ones(len(mine)), np.zeros(len(hard))]).astype(F32)
-        order = rng.permutation(len(o))
-        for i in range(0, len(order), s.batch):
-            at = order[i : i + s.batch]
-            _step(p, adam, seen, w, win[:, o[at]], t[at], s)
+        # a small sample is gone through several times, so that the network takes as many steps
+        for _ in range(max(1, -(-s.steps * s.batch // len(o)))):
+            order = rng.permutation(len(o))
+            for i in range(0, len(order), s.batch):
+                at = order[i : i + s.batch]
+                _step(p, adam, seen, w, win[:, o[at]], t[at], s)
     return model
 
 
