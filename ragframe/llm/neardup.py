@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ class Settings:
     #: Widths, in bands' lengths, at which a bucket is narrowed.
     widths: tuple[int, ...] = (1, 2, 4, 9)
     #: idf runs from 1 (in every text) to 1 + idf_span (in one text). Edited copies of a much copied text have rare shingles where
-    #: they differ and frequent ones where they agree, so a wide span would part them: 0.1 keeps 0.8 close to the plain measure.
-    idf_span: float = 0.1
+    #: they differ and frequent ones where they agree, so a wide span would part them: 0.03 keeps 0.8 close to the plain measure.
+    idf_span: float = 0.03
     block_mb: float = 4.0
 
 
@@ -119,12 +120,16 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     kind = docs.schema[key].dataType.simpleString()
     owner = cut(copies(docs, key, text))
     chosen = owner.filter(F.col("id") == F.col("first")).select("id").distinct()
-    one = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull()).join(chosen, "id", "left_semi")
     n = shards(docs, s.block_mb)
-    dealt = blocked(one, "id", n)
+    # texts are moved once for each of two passes; the chosen ids meet them in their blocks
+    dealt = blocked(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull()), "id", n)
+    picks = chosen.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     texts = chosen.count()
 
-    def count(t: pa.Table) -> pa.Table:
+    def count(t: pa.Table, own: pa.Table) -> pa.Table:
+        t = t.filter(pa.compute.is_in(t["id"], value_set=own["id"].combine_chunks()))
+        if not t.num_rows:
+            return key_table([])
         block = t["block"][0].as_py()
         data, off = text_bytes(t["text"])
         row, sh, _ = weighted(*shingles(data, off, s.shingle), t.num_rows)
@@ -145,12 +150,16 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
         kinds = (pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "keys", "df"])
 
-    frequent = dealt.groupBy("block").applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, keys binary, df binary")
+    counted = dealt.groupBy("block").cogroup(picks.groupBy("block")).applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, keys binary, df binary")
+    frequent = cut(counted)
+    told = frequent.withColumn("id", F.lit(None).cast(kind)).unionByName(picks, allowMissingColumns=True)
     n_samples = s.bands * s.rows
 
     def sign(t: pa.Table, known: pa.Table) -> pa.Table:
         names = ["id", "total", "vector", "sig"]
         none = pa.Table.from_arrays([pa.array([], k) for k in (id_type(t), pa.float64(), pa.binary(), pa.list_(pa.int64()))], names)
+        t = t.filter(pa.compute.is_in(t["id"], value_set=known["id"].drop_null().combine_chunks()))
+        known = known.filter(pa.compute.is_valid(known["keys"]))
         if not t.num_rows or not known.num_rows:
             return none
         keys = np.frombuffer(b"".join(x.as_py() for x in known["keys"]), "<u8")
@@ -177,7 +186,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
         vec = [sh[a:b].tobytes() + weight[a:b].astype("<f4").tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
         return pa.Table.from_arrays([t["id"].take(pa.array(pick)), pa.array(total[pick]), pa.array(vec, pa.binary()), pa.array(list(sig.view(np.int64)), pa.list_(pa.int64()))], names)
 
-    signed = cut(dealt.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(sign, f"id {kind}, total double, vector binary, sig array<long>"))
+    signed = cut(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(sign, f"id {kind}, total double, vector binary, sig array<long>"))
     pairs = candidate_pairs(signed.select("id", "sig"), s)
     links = cut(verified(pairs, signed.select("id", "vector", "total"), s))
     classes = components(links)
