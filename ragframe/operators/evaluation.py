@@ -40,10 +40,10 @@ def ranking_scores(hits: DataFrame, totals: DataFrame, ks: tuple[int, ...] = (1,
     out: list[Column] = [F.col(key)]
     for k in ks:
         p = F.coalesce(F.col(f"s{k}") / k, F.lit(0.0))
-        r = F.when(total <= 0, F.when(none, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.least(F.lit(1.0), F.col(f"s{k}") / total), F.lit(0.0)))
+        r = F.when(total <= 0, F.when(none, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / total))
         n = F.when(none, 0.0).when(F.col(f"i{k}") > 0, F.col(f"d{k}") / F.col(f"i{k}")).otherwise(F.when(F.col("all_rel") == 0, 1.0).otherwise(0.0))
         out += [F.round(p, 4).alias(f"precision_at_{k}"), F.round(r, 4).alias(f"recall_at_{k}"), F.round(f1(p, r), 4).alias(f"f1_at_{k}"), F.coalesce(F.col(f"h{k}"), F.lit(0.0)).alias(f"hit_rate_at_{k}"), F.round(n, 4).alias(f"ndcg_at_{k}")]
-    ap = F.when(total <= 0, F.when(F.coalesce("all_rel", F.lit(0.0)) == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.least(F.lit(1.0), F.col("ap") / total), F.lit(0.0)))
+    ap = F.when(total <= 0, F.when(F.coalesce("all_rel", F.lit(0.0)) == 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("ap"), F.lit(0.0)) / total))
     return s.select(*out, F.round(F.coalesce("mrr", F.lit(0.0)), 4).alias("mrr"), F.round(ap, 4).alias("map"))
 
 
