@@ -40,19 +40,20 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir); a temporary folder only where none is set.
-
-    Shuffle files that led to it are deleted once the driver collects its garbage, so that is done here: they would else stay beside
-    those of the next step.
-    """
+    """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir); a temporary folder only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ragframe-checkpoint-"))
-    out = df.checkpoint(eager=True)
-    del df
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that shuffle files behind a checkpoint go before the next step writes its own.
+
+    To be called when nothing refers to the frame before the checkpoint any more.
+    """
     gc.collect()
-    sc._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
 def _mix_int(x: int) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.llm.blocks import KEYS, blocked, key_table, received, sent
-from ragframe.llm.common import arrow_batches, cut, mix, shards, text_bytes, word_hashes
+from ragframe.llm.common import arrow_batches, cut, mix, release, shards, text_bytes, word_hashes
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -152,6 +152,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
 
     counted = dealt.groupBy("block").cogroup(picks.groupBy("block")).applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, keys binary, df binary")
     frequent = cut(counted)
+    del counted
+    release(docs.sparkSession)
     told = frequent.withColumn("id", F.lit(None).cast(kind)).unionByName(picks, allowMissingColumns=True)
     n_samples = s.bands * s.rows
 
@@ -187,6 +189,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
         return pa.Table.from_arrays([t["id"].take(pa.array(pick)), pa.array(total[pick]), pa.array(vec, pa.binary()), pa.array(list(sig.view(np.int64)), pa.list_(pa.int64()))], names)
 
     signed = cut(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(sign, f"id {kind}, total double, vector binary, sig array<long>"))
+    release(docs.sparkSession)
     pairs = candidate_pairs(signed.select("id", "sig"), s)
     links = cut(verified(pairs, signed.select("id", "vector", "total"), s))
     classes = components(links)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.llm.blocks import KEYS, blocked, key_table, part_of, received, sent
-from ragframe.llm.common import cut, mix, shards, text_bytes, word_hashes
+from ragframe.llm.common import cut, mix, release, shards, text_bytes, word_hashes
 
 END, BEGIN = np.uint64(0x5EED0E4D00000001), np.uint64(0x5EED0E4D00000002)
 _LEVEL, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -166,6 +166,7 @@ def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "part", "data", "n_tokens", "n_words"])
 
     found = cut(dealt.groupBy("block").applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, part int, data binary, n_tokens long, n_words long"))
+    release(docs.sparkSession)
     # the segments: filter_mb at most, whatever the input
     seg = found.filter("block = -1").select("part", "data", "n_tokens", "n_words").collect()
     total, words = sum(r["n_tokens"] for r in seg), sum(r["n_words"] for r in seg)
