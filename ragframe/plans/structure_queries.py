@@ -22,12 +22,13 @@ def line_noise(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("doc_id", "ln", ln.is_noise(F.col("line")).alias("noise"))
 
 
-@query("repeated_line_filter", f"""with {_LINES}, p as (select source, count(distinct doc_id) as pages from documents group by 1), r as (select source, line, count(distinct doc_id) as n from l group by all),
-k as (select l.* from l join p using (source) join r using (source, line) where not {_NOISE} and not (n >= greatest(3, floor(0.6 * pages)) and length(line) <= 80)),
-x as (select *, lag(line) over (partition by source order by doc_id, ln) as before from k)
-select source, doc_id, ln, line from x where before is null or before <> line""")
+@query("repeated_line_filter", f"""with {_LINES}, g as (select *, ln // 5 as page from l), p as (select doc_id, count(distinct page) as pages from g group by 1), r as (select doc_id, line, count(distinct page) as n from g group by all),
+k as (select g.* from g join p using (doc_id) join r using (doc_id, line) where not {_NOISE} and not (n >= greatest(3, floor(0.6 * pages)) and length(line) <= 80)),
+x as (select *, lag(line) over (partition by doc_id order by page, ln) as before from k)
+select doc_id, page::bigint as page, ln, line from x where before is null or before <> line""")
 def repeated_line_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.without_noise(lines(spark, sf), "source", "doc_id")
+    x = lines(spark, sf).withColumn("page", F.floor(F.col("ln") / 5))
+    return structure.without_noise(x, "doc_id", "page")
 
 
 @query("blank_collapse", f"""with {_LINES}, b as (select *, trim(line) = '' as blank, lag(trim(line) = '') over (partition by doc_id order by ln) as before, max(case when trim(line) <> '' then ln end) over (partition by doc_id) as last from l)

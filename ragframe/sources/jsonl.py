@@ -42,3 +42,15 @@ def parse_chunks(lines: DataFrame) -> DataFrame:
         F.coalesce("record_type", F.lit("section")).alias("record_type"), infer_year(F.col("relative_path")).alias("source_year"), F.length("text").cast("long").alias("char_count"),
         F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("line_count"),
     )
+
+
+def tolerant_chunks(lines: DataFrame) -> DataFrame:
+    """title, text and category of chunks to deliver: broken lines and blank texts are left out."""
+    from ragframe.functions.text import slug_underscore
+
+    r = lines.select(F.from_json("value", CHUNK + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    r = r.filter(F.col("_bad").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    top = F.split("relative_path", "/")[0]
+    label = F.when(top.rlike(r"^20\d{2}$"), "pdf").otherwise("web")
+    title = F.format_string("%s__chunk__%s__%04d", label, slug_underscore(F.col("title")), F.col("chunk_id"))
+    return r.select(title.alias("title"), "text", label.alias("category"))
