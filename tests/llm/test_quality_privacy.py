@@ -36,7 +36,7 @@ def test_quality_edges(spark, odd_docs):
 
 
 def test_lines_fall_and_documents_stay(spark):
-    good = "This is a fine sentence of plain words. " * 3
+    good = "This is a fine sentence of plain words, and another part of it follows here."
     t = f"{good}\nhome | news | sport | about\nWOW!! BUY!! NOW!! CHEAP!!\na# b# c# d#"
     r = quality(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
     assert r.clean_text == good and r.kept
