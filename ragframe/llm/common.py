@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +53,10 @@ def release(spark: SparkSession) -> None:
 
     To be called when nothing refers to the frame before the checkpoint any more.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # Python's frames let go of the JVM's in a thread of their own, and these are collected after that
+        gc.collect()
+        time.sleep(0.7)
+        spark.sparkContext._jvm.System.gc()
 
 
 def _mix_int(x: int) -> int:
