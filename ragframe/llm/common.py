@@ -29,9 +29,14 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string")) % n
 
 
-def shards(df: DataFrame, mb: float, least: int = 1, most: int = 200_000) -> int:
-    """How many pieces of about mb megabytes (as stored) df has, from the optimizer's size estimate: it grows with the input."""
+def shards(df: DataFrame, mb: float, text: str, least: int = 1, most: int = 200_000) -> int:
+    """How many pieces of about mb megabytes df has: it grows with the input.
+
+    The size is the optimizer's (for files, that of the files); where it knows none, as for rows made in memory, the texts' bytes.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()["n"] or 0
     return max(least, min(most, -(-size // int(mb * 1e6))))
 
 

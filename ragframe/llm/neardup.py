@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
     kind = docs.schema[key].dataType.simpleString()
     owner = cut(copies(docs, key, text))
     chosen = owner.filter(F.col("id") == F.col("first")).select("id").distinct()
-    n = shards(docs, s.block_mb)
+    n = shards(docs, s.block_mb, text)
     # texts are moved once for each of two passes; the chosen ids meet them in their blocks
     dealt = blocked(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull()), "id", n)
     picks = chosen.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))

@@ -130,7 +130,7 @@ def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str
     Null is an empty text: one token, the end. Without training rows, N and V are 0 and no token is known; base probabilities are
     then 1. Repeated rows count and score as often as they occur. Extra columns are left out.
     """
-    n = shards(docs, m.block_mb)
+    n = shards(docs, m.block_mb, text)
     kind = docs.schema[key].dataType.simpleString()
     dealt = blocked(docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns")), "id", n)
 
