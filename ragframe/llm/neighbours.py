@@ -30,7 +30,7 @@ class Settings:
     #: Buckets a query visits in each table.
     probes: int = 150
     #: Width of a bucket as a share of the typical distance between vectors.
-    width: float = 1.35
+    width: float = 1.5
     #: Vectors that the widths are fitted on.
     sample: int = 2000
     #: Points of a bucket that one task compares; larger buckets are dealt over several.
