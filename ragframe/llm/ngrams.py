@@ -2,7 +2,8 @@
 
 The filter holds, for an n-gram counted c times, the entries (n-gram, 1) .. (n-gram, q) with q = 1 + floor(log_b c): a count is read
 by probing levels until one is missing, which needs no stored keys or values. Parts of the key space build their own segments, so
-that none is merged; their total size has a fixed bound, and they are broadcast. Base scores come from exact counts instead.
+that none is merged, and a part probes its segment for the keys of each block: no task holds more than one segment, and an entry has
+as many bits at every size of the input. Base scores come from exact counts instead.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,9 @@ _LEVEL, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 @dataclass(frozen=True)
 class Model:
-    """The filter's bound and the smoothing; none depends on the input's size."""
+    """The filter's bits and the smoothing; none depends on the input's size."""
 
-    #: Megabytes of the whole filter at most. While the corpus fits, an entry has `bits` bits; beyond, fewer, and more false hits.
-    filter_mb: int = 96
+    #: Bits of an entry, whatever the input's size.
     bits: float = 10.0
     hashes: int = 5
     #: Base of the logarithm that counts are quantised by.
@@ -58,10 +59,10 @@ def _places(key: np.ndarray, level: int | np.ndarray, size: np.ndarray, hashes:
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, m: Model, parts: int) -> bytes:
-    """One part's segment: its bits, packed."""
+    """One part's segment: its bits, packed. Its size follows its own entries alone, however many parts there are."""
     q = levels(counts, m.base)
     entries = int(q.sum())
-    size = 8 * max(8, int(min(m.bits * entries, m.filter_mb * 8e6 / parts)) // 8)
+    size = 8 * max(8, int(m.bits * entries) // 8)
     on = np.zeros(size, np.uint8)
     for level in range(1, int(q.max(initial=0)) + 1):
         k = keys[q >= level]
@@ -71,7 +72,7 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, m: Model, parts: int) ->
 
 
 class Filter:
-    """All segments; counts() reads quantised counts by membership probes."""
+    """Segments of some or all parts; level() reads quantised counts by membership probes."""
 
     def __init__(self, segments: dict[int, bytes], parts: int, m: Model):
         self.m, self.parts = m, parts
@@ -99,9 +100,6 @@ class Filter:
                 break
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        return self.value[self.level(keys)]
-
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + word)
@@ -124,6 +122,11 @@ def tokens(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), size), out, before
 
 
+def _dealt(values: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The bytes of each run of values."""
+    return [x.tobytes() for x in np.split(values, np.cumsum(size)[:-1])] if len(size) else []
+
+
 def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
@@ -141,8 +144,9 @@ def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str
         mine = learn[row]
         u, inv = np.unique(tok, return_inverse=True)
         rows = list(sent(block, 0, u, np.bincount(inv[mine], minlength=len(u)), n))
-        pairs, c = np.unique(pair_keys(before[mine], tok[mine]), return_counts=True)
-        rows += sent(block, 1, pairs, c, n)
+        # pairs that nothing is learned from go too, with count 0: their levels are asked for
+        pairs, inv = np.unique(pair_keys(before, tok), return_inverse=True)
+        rows += sent(block, 1, pairs, np.bincount(inv[mine], minlength=len(pairs)), n)
         if learn.any():
             rows += sent(block, 2, np.array([BEGIN], np.uint64), np.array([learn.sum()]), n)
         return key_table(rows)
@@ -152,58 +156,47 @@ def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str
         blocks, size, keys, c = received(t, 0)
         u, inv = np.unique(keys, return_inverse=True)
         total = np.bincount(inv, c, len(u)).astype(np.int64)
-        answers = np.split(np.minimum(total, 2**32 - 1).astype("<u4")[inv], np.cumsum(size)[:-1]) if blocks else []
-        rows = [(b, part, a.tobytes(), 0, 0) for b, a in zip(blocks, answers, strict=True)]
-        _, _, pk, pc = received(t, 1)
+        pair_blocks, pair_size, pk, pc = received(t, 1)
         pu, pinv = np.unique(pk, return_inverse=True)
         pt = np.bincount(pinv, pc, len(pu)).astype(np.int64)
         _, _, bk, bc = received(t, 2)
         often, known = pt >= m.least_pair, total > 0
         all_keys = np.concatenate([u[known], pu[often], bk[:1]])
         all_counts = np.concatenate([total[known], pt[often], [bc.sum()] if len(bk) else []]).astype(np.int64)
-        rows.append((-1, part, build_segment(all_keys, all_counts, m, n), int(total.sum()), int(known.sum())))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "part", "data", "n_tokens", "n_words"])
-
-    found = cut(dealt.groupBy("block").applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, part int, data binary, n_tokens long, n_words long"))
+        f = Filter({part: build_segment(all_keys, all_counts, m, n)}, n, m)
+        rows = [(b, part, 0, a, lv, 0, 0, 0) for b, a, lv in zip(blocks, _dealt(np.minimum(total, 2**32 - 1).astype("<u4")[inv], size), _dealt(f.level(u).astype(np.uint8)[inv], size), strict=True)]
+        rows += [(b, part, 1, b"", lv, 0, 0, 0) for b, lv in zip(pair_blocks, _dealt(f.level(pu).astype(np.uint8)[pinv], pair_size), strict=True)]
+        rows.append((-1, part, 0, b"", b"", int(total.sum()), int(known.sum()), int(f.level(bk[:1]).sum())))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "part", "kind", "data", "levels", "n_tokens", "n_words", "begin"])
+
+    found = cut(dealt.groupBy("block").applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, part int, kind int, data binary, levels binary, n_tokens long, n_words long, begin long"))
     release(docs.sparkSession)
-    # the segments: filter_mb at most, whatever the input
-    seg = found.filter("block = -1").select("part", "data", "n_tokens", "n_words").collect()
-    total, words = sum(r["n_tokens"] for r in seg), sum(r["n_words"] for r in seg)
-    sent_filter = docs.sparkSession.sparkContext.broadcast(({r["part"]: bytes(r["data"]) for r in seg}, n))
+    sums = found.filter("block = -1").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_words").alias("n_words"), F.sum("begin").alias("begin")).first()
+    total, words, begin = (x or 0 for x in sums)
     norm = total + 0.1 * (words + 1)
+    value = level_value(m.base)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        f = _filter(sent_filter, m)
         row, tok, before = tokens(texts["text"])
         u, inv = np.unique(tok, return_inverse=True)
         answers = answers.sort_by("part")
-        c = np.frombuffer(b"".join(x.as_py() for x in answers["data"]), "<u4").astype(np.float64)
+        of = [answers.filter(pa.compute.equal(answers["kind"], k)) for k in (0, 1)]
+        c = np.frombuffer(b"".join(x.as_py() for x in of[0]["data"]), "<u4").astype(np.float64)
+        single, double = (value[np.frombuffer(b"".join(x.as_py() for x in t["levels"]), np.uint8)] for t in of)
         rows = texts.num_rows
         base = np.bincount(row, np.log10((c + 0.1) / norm)[inv], rows)
         known = np.bincount(row, (c > 0)[inv], rows).astype(np.int64)
-        alone = (f.counts(u) + 0.1) / norm
-        before_u, before_inv = np.unique(before, return_inverse=True)
-        context = f.counts(before_u)[before_inv]
-        pairs, pair_inv = np.unique(pair_keys(before, tok), return_inverse=True)
-        both = np.minimum(f.counts(pairs)[pair_inv], context)
+        alone = (single + 0.1) / norm
+        # what stands before a token is a token too, or the begin
+        context = np.where(before == BEGIN, value[begin], single[np.minimum(np.searchsorted(u, before), len(u) - 1)])
+        _, pair_inv = np.unique(pair_keys(before, tok), return_inverse=True)
+        both = np.minimum(double[pair_inv], context)
         p = np.where(context > 0, m.pair_share * both / np.maximum(context, 1) + (1 - m.pair_share) * alone[inv], alone[inv])
         lm = np.bincount(row, np.log10(p), rows)
         size = np.bincount(row, minlength=rows).astype(np.int64)
         return pa.Table.from_arrays([texts["id"], pa.array(size), pa.array(known), pa.array(np.full(rows, total, np.int64)), pa.array(base), pa.array(lm)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = found.filter("block >= 0").select("block", "part", "data")
+    answers = found.filter("block >= 0").select("block", "part", "kind", "data", "levels")
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", key)
-
-
-_filters: dict[int, Filter] = {}
-
-
-def _filter(sent_filter, m: Model) -> Filter:
-    """The worker's filter; the last one is kept."""
-    number = id(sent_filter.value)
-    if number not in _filters:
-        _filters.clear()
-        _filters[number] = Filter(*sent_filter.value, m)
-    return _filters[number]

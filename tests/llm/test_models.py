@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ragframe.llm import language as g
 from ragframe.llm import toxicity as t
 from ragframe.llm.gru import backward, direction, forward
-from ragframe.llm.ngrams import Filter, Model, build_segment, language_model, levels
+from ragframe.llm.ngrams import Filter, Model, build_segment, language_model, level_value, levels
 
 
 def test_backpropagation_matches_differences():
@@ -79,6 +79,40 @@ def test_filter_reads_quantised_counts():
     assert (f.level(rng.integers(0, 2**63, 4000).astype(np.uint64)) > 0).mean() < 0.05
 
 
+def test_filter_has_as_many_bits_among_many_parts():
+    m, parts = Model(), 100_000
+    rng = np.random.default_rng(1)
+    keys, absent = (rng.integers(0, 2**47 // parts, (2, 4000)) << 16).astype(np.uint64)  # all of part 0
+    counts = rng.integers(1, 5000, 4000)
+    f = Filter({0: build_segment(keys, counts, m, parts)}, parts, m)
+    assert 8 * len(f.bits) > 0.99 * m.bits * levels(counts, m.base).sum()
+    assert (f.level(absent) > 0).mean() < 0.05
+
+
+def test_scores_of_many_parts_against_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    m = Model(block_mb=0.005)
+    got = language_model(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, m).collect()
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = {r.doc_id: ["<", *re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(low)), None] for r in docs.collect()}
+    learned = [ws for i, ws in words.items() if zlib.crc32(str(i).encode()) % 10]
+    c, c2 = Counter(w for ws in learned for w in ws), Counter(p for ws in learned for p in zip(ws, ws[1:], strict=False))
+    value = level_value(m.base)
+    read = lambda n: value[levels(np.array([n]), m.base)[0]] if n else 0.0
+    n, v = sum(c.values()) - len(learned), len(c) - 1
+    norm = n + 0.1 * (v + 1)
+    total = 0.0
+    for r in got:
+        want = 0.0
+        for a, w in zip(words[r.doc_id], words[r.doc_id][1:], strict=False):
+            alone, context, both = (read(c[w]) + 0.1) / norm, read(c[a]), read(c2[a, w] if c2[a, w] >= m.least_pair else 0)
+            want += math.log10(m.pair_share * min(both, context) / context + (1 - m.pair_share) * alone if context else alone)
+        # false hits alone part them
+        assert abs(r.score - want) < 0.03 * abs(want) + 2
+        total += abs(r.score - want) / abs(want)
+    assert len(got) == len(words) and total / len(got) < 0.01
+
+
 def test_base_scores_against_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-10, "")], "doc_id long, text string"))
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
