@@ -4,6 +4,10 @@ Vectors are lifted so that the largest inner product is the smallest Euclidean d
 functions floor((a.x + b) / w). A query visits its own bucket and perturbed ones, in the order of their estimated success (the
 squared distances to the bucket borders that a perturbation crosses). Points and probes meet by bucket; each task keeps the
 nearest it finds by the exact measure; the tables' candidates are merged and ranked.
+
+Points are split into ranges of length, each with its own scale, width and number of functions. That number is lowered until a sample
+of queries, whose nearest are found exactly in one pass, finds enough of them; without functions all points of a range are compared.
+Queries that still find fewer than there are get an exact search in blocks.
 """
 
 from __future__ import annotations
@@ -25,11 +29,17 @@ from ragframe.llm.common import arrow_batches, cut, mix
 class Settings:
     nearest: int = 20
     tables: int = 16
-    #: Each table has log2(points) less so many hash functions, rounded: some dozens of points have none, and are all compared.
+    #: Each table has at most log2(points) less so many hash functions, rounded: some dozens of points have none, and are all compared.
     fewer_functions: float = 5.0
+    #: Share of their nearest that the sampled queries must find in each range of lengths.
+    recall: float = 0.95
+    #: Queries of that sample.
+    tested: int = 100
+    #: Ranges of length, each half as long as the one before; the last holds all that are shorter.
+    ranges: int = 8
     #: Buckets a query visits in each table.
     probes: int = 150
-    #: Width of a bucket as a share of the typical distance between vectors.
+    #: Width of a bucket as a share of the typical distance between a query and a point.
     width: float = 1.5
     #: Vectors that the widths are fitted on.
     sample: int = 2000
@@ -61,27 +71,70 @@ def probe_sets(offsets: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+@dataclass(frozen=True)
+class Range:
+    """Points of about one length: their longest, the width of their buckets and the functions of a table."""
+
+    scale: float
+    w: float
+    k: int
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+def lifted(x: np.ndarray, scale: float) -> np.ndarray:
+    """Points with the coordinate that makes them equally long."""
+    y = x / scale
+    return np.concatenate([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1, keepdims=True)))], 1)
+
+
 class Hasher:
-    """p-stable functions of all tables over lifted vectors."""
+    """p-stable functions of all tables over lifted vectors, for every range."""
 
-    def __init__(self, dim: int, functions: int, scale: float, w: float, s: Settings):
+    def __init__(self, dim: int, ranges: dict[int, Range], s: Settings):
         rng = np.random.default_rng(s.seed)
-        self.a = rng.standard_normal((dim + 1, s.tables * functions))
-        self.b = rng.uniform(0, w, s.tables * functions)
-        self.w, self.scale, self.k, self.tables = w, scale, functions, s.tables
-
-    def slots(self, x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Slot numbers and places within them, (vector, table, function). Points get the coordinate that makes them equally long."""
-        if query:
-            y = x / np.linalg.norm(x, axis=1, keepdims=True)
-            lift = np.zeros((len(x), 1))
-        else:
-            y = x / self.scale
-            lift = np.sqrt(np.maximum(0, 1 - (y * y).sum(1, keepdims=True)))
-        v = (np.concatenate([y, lift], 1) @ self.a + self.b) / self.w
+        most = max(g.k for g in ranges.values())
+        # the same functions whatever `most` is: they are drawn one after the other
+        drawn = [(rng.standard_normal((dim + 1, s.tables)), rng.uniform(0, 1, s.tables)) for _ in range(most)]
+        self.a = np.stack([a for a, _ in drawn], 2) if drawn else np.zeros((dim + 1, s.tables, 0))
+        self.b = np.stack([b for _, b in drawn], 1) if drawn else np.zeros((s.tables, 0))
+        self.ranges, self.all_tables = ranges, s.tables
+
+    def tables(self, g: int) -> int:
+        """Without functions one table holds all."""
+        return self.all_tables if self.ranges[g].k else 1
+
+    def slots(self, x: np.ndarray, g: int, query: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Slot numbers and places within them, (vector, table, function), in range g."""
+        own, t = self.ranges[g], self.tables(g)
+        y = np.concatenate([directions(x), np.zeros((len(x), 1))], 1) if query else lifted(x, own.scale)
+        v = np.tensordot(y, self.a[:, :t, : own.k], 1) / own.w + self.b[:t, : own.k]
         f = np.floor(v)
-        shape = (len(x), self.tables, self.k)
-        return f.astype(np.int64).reshape(shape), (v - f).reshape(shape)
+        return f.astype(np.int64), v - f
+
+    def point_keys(self, x: np.ndarray, g: int) -> np.ndarray:
+        """(vector, table)."""
+        slots, _ = self.slots(x, g, False)
+        return np.stack([self.key(g * self.all_tables + t, slots[:, t]) for t in range(slots.shape[1])], 1)
+
+    def query_keys(self, x: np.ndarray, g: int, probes: int) -> list[list[np.ndarray]]:
+        """The buckets that each query visits in each table."""
+        slots, place = self.slots(x, g, True)
+        out = []
+        for i in range(len(x)):
+            own = []
+            for t in range(slots.shape[1]):
+                sets = probe_sets(place[i, t], probes)
+                moved = np.repeat(slots[i, t][None], len(sets), 0)
+                for j, moves in enumerate(sets):
+                    for f, d in moves:
+                        moved[j, f] += d
+                own.append(self.key(g * self.all_tables + t, moved))
+            out.append(own)
+        return out
 
     @staticmethod
     def key(table: int | np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -119,48 +172,47 @@ def neighbours(vectors: DataFrame, is_query: Column, s: Settings = Settings(), k
     if dims is None:
         return vectors.sparkSession.createDataFrame([], out)
     v = v.filter(F.size("v") == dims["d"])
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     # equal vectors: one with its smallest keys (a query needs one more than the nearest, for itself)
     v = v.withColumn("h", F.xxhash64("v"))
     firsts = v.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).filter(F.col("r") <= s.nearest + 1)
-    points = cut(firsts.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.xxhash64("h", "v").alias("p"), "v", "ids"))
+    shorter = F.when(norm > 0, F.floor(F.log2(F.lit(float(dims["m"])) / norm))).otherwise(s.ranges)
+    points = firsts.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.xxhash64("h", "v").alias("p"), "v", "ids")
+    points = cut(points.withColumn("g", F.greatest(F.lit(0), F.least(F.lit(s.ranges - 1), shorter)).cast("int")))
     queries = v.filter(F.coalesce(F.col("q"), F.lit(False))).select("id", "v").dropDuplicates(["id"])
-    n = points.count()
-    functions = max(0, round(math.log2(max(1, n)) - s.fewer_functions))
-    h = _fitted(points, dims["d"], float(dims["m"]), functions, s)
-    sent = vectors.sparkSession.sparkContext.broadcast(h)  # dim x tables x functions numbers
+    n, others = points.count(), v.select("id").distinct().count() - 1
+    fitted = _fitted(points.withColumn("m", norm), queries, dims["d"], s)
+    if fitted is None:
+        return vectors.sparkSession.createDataFrame([], out)
+    sent = vectors.sparkSession.sparkContext.broadcast(fitted)  # dim x tables x functions numbers
     parts = max(1, -(-n * s.tables // s.partition))
 
     def hash_points(batches):
         hasher = sent.value
         for b in batches:
-            slots, _ = hasher.slots(_matrix(b.column(1)), False)
-            keys = np.stack([Hasher.key(t, slots[:, t]) for t in range(hasher.tables)], 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["p", "keys"])
+            x, g = _matrix(b.column(1)), np.asarray(b.column(2))
+            keys = [None] * len(x)
+            for own in np.unique(g).tolist():
+                at = np.flatnonzero(g == own)
+                for i, k in zip(at.tolist(), hasher.point_keys(x[at], own), strict=True):
+                    keys[i] = k
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["p", "keys"])
 
     def hash_queries(batches):
         hasher = sent.value
         for b in batches:
-            slots, place = hasher.slots(_matrix(b.column(1)), True)
-            keys = []
-            for i in range(b.num_rows):
-                own = []
-                for t in range(hasher.tables):
-                    sets = probe_sets(place[i, t], s.probes)
-                    moved = np.repeat(slots[i, t][None], len(sets), 0)
-                    for j, moves in enumerate(sets):
-                        for f, d in moves:
-                            moved[j, f] += d
-                    own.append(Hasher.key(t, moved))
-                keys.append(np.concatenate(own))
+            x = _matrix(b.column(1))
+            found = [hasher.query_keys(x, g, s.probes) for g in hasher.ranges]
+            keys = [np.concatenate([k for own in each for k in own]) for each in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
 
-    hashed = cut(points.select("p", "v").mapInArrow(hash_points, "p long, keys array<long>"))
+    hashed = cut(points.select("p", "v", "g").mapInArrow(hash_points, "p long, keys array<long>"))
     in_bucket = hashed.select("p", F.explode("keys").alias("k"))
     # a large bucket is dealt over several salts, and its probes go to each
     large = in_bucket.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > s.salt).select("k", F.ceil(F.col("n") / s.salt).cast("int").alias("salts"))
     large = cut(large)
     placed = in_bucket.join(large, "k", "left").withColumn("salt", F.coalesce(F.pmod("p", "salts"), F.lit(0)).cast("long")).withColumn("part", F.pmod(F.xxhash64("k", "salt"), F.lit(parts)).cast("int"))
-    probed = queries.mapInArrow(hash_queries, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("k")).join(large, "k", "left")
+    probed = queries.repartition(parts).mapInArrow(hash_queries, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("k")).join(large, "k", "left")
     probed = probed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).withColumn("part", F.pmod(F.xxhash64("k", "salt"), F.lit(parts)).cast("int"))
     # each vector goes once to a part, with its buckets there
     side_p = placed.groupBy("part", "p").agg(F.collect_list(F.xxhash64("k", "salt")).alias("keys")).join(points.select("p", "v"), "p").select("part", "p", "keys", "v")
@@ -199,12 +251,25 @@ def neighbours(vectors: DataFrame, is_query: Column, s: Settings = Settings(), k
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
         return pa.Table.from_arrays([qt["id"].take(pa.array(np.concatenate(got_q))), pa.array(np.concatenate(got_p)), pa.array(np.concatenate(got_s))], names)
 
-    found = side_p.groupBy("part").cogroup(side_q.groupBy("part")).applyInArrow(compare, f"id {kind}, p long, score double")
-    best = found.groupBy("id", "p").agg(F.max("score").alias("score"))
-    top = best.withColumn("r", F.rank().over(Window.partitionBy("id").orderBy(F.desc("score")))).filter(F.col("r") <= keep)
-    members = top.join(points.select("p", "ids"), "p").select("id", "score", F.explode("ids").alias("other")).filter(F.col("other") != F.col("id"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return members.withColumn("rank", rank).filter(F.col("rank") <= s.nearest).select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("other").alias(key), "score")
+    def ranked(side_p: DataFrame, side_q: DataFrame) -> DataFrame:
+        """query_id, rank, key and score of what meets in the parts."""
+        found = side_p.groupBy("part").cogroup(side_q.groupBy("part")).applyInArrow(compare, f"id {kind}, p long, score double")
+        best = found.groupBy("id", "p").agg(F.max("score").alias("score"))
+        top = best.withColumn("r", F.rank().over(Window.partitionBy("id").orderBy(F.desc("score")))).filter(F.col("r") <= keep)
+        members = top.join(points.select("p", "ids"), "p").select("id", "score", F.explode("ids").alias("other")).filter(F.col("other") != F.col("id"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+        return members.withColumn("rank", rank).filter(F.col("rank") <= s.nearest).select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("other").alias(key), "score")
+
+    first = cut(ranked(side_p, side_q))
+    # queries that found fewer than there are: all points, in blocks
+    full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(s.nearest, others)).select(F.col("query_id").alias("id"))
+    short = cut(queries.join(full, "id", "left_anti"))
+    if others < 1 or short.isEmpty():
+        return first
+    blocks, one = max(1, -(-n // s.partition)), F.array(F.lit(0).cast("long")).alias("keys")
+    block_p = points.select(F.pmod("p", F.lit(blocks)).cast("int").alias("part"), "p", one, "v")
+    block_q = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "id", one, "v")
+    return first.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(ranked(block_p, block_q)).select("query_id", "rank", key, "score")
 
 
 def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,12 +280,63 @@ def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(c.flatten()), np.asarray(pa.compute.list_value_length(c)).astype(np.int64)
 
 
-def _fitted(points: DataFrame, dim: int, longest: float, functions: int, s: Settings) -> Hasher:
-    """The width follows the typical distance in a bounded sample."""
-    rows = points.orderBy("p").select("v").limit(s.sample).collect()
-    x = np.array([r["v"] for r in rows]) / longest
-    x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1)
-    half = len(x) // 2
-    d = np.linalg.norm(x[:half] - x[half : 2 * half], axis=1) if half else np.ones(1)
-    typical = float(np.median(d)) or 1.0
-    return Hasher(dim, functions, longest, s.width * typical, s)
+def _fitted(points: DataFrame, queries: DataFrame, dim: int, s: Settings) -> Hasher | None:
+    """Scale, width and functions of each range; None without queries. points: also g and m, the range and length.
+
+    The width follows the typical distance from a query to a point, in bounded samples. The functions are as many as let the sampled
+    queries find the share `recall` of their nearest that lie in the range.
+    """
+    tested = queries.orderBy(F.xxhash64("id"), "id").limit(s.tested).collect()
+    if not tested:
+        return None
+    q = np.array([r["v"] for r in tested])
+    own = [r["id"] for r in tested]
+    rows = points.orderBy("p").select("v", "g").limit(s.sample).collect()
+    x, xg = np.array([r["v"] for r in rows]), np.array([r["g"] for r in rows])
+    true = _true(points, q, own, s)
+    nx = np.array([r["v"] for r in true]).reshape(-1, dim)
+    ng, nq = np.array([r["g"] for r in true], int), np.array([r["i"] for r in true], int)
+    ranges = {}
+    for r in points.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).orderBy("g").collect():
+        g, scale = r["g"], r["m"] or 1.0
+        # a range too small for the sample has its nearest to go by, or only the distance at a right angle
+        near = next((y for y in (x[xg == g], nx[ng == g]) if len(y)), np.zeros((1, dim)))
+        to = np.sqrt(np.maximum(0, 2 - 2 * directions(q) @ (near / scale).T))
+        typical = float(np.median(to)) or 1.0
+        k = max(0, round(math.log2(r["n"]) - s.fewer_functions))
+        at = np.flatnonzero(ng == g)
+        while k and len(at):
+            h = Hasher(dim, {g: Range(scale, s.width * typical, k)}, s)
+            keys = h.point_keys(nx[at], g)
+            probes = h.query_keys(q, g, s.probes)
+            hits = [any((a == b).any() for a, b in zip(keys[j], probes[nq[i]], strict=True)) for j, i in enumerate(at)]
+            if np.mean(hits) >= s.recall:
+                break
+            k -= 1
+        ranges[g] = Range(scale, s.width * typical, k)
+    # a range has the same functions alone and among others
+    return Hasher(dim, ranges, s)
+
+
+def _true(points: DataFrame, q: np.ndarray, own: list, s: Settings) -> list:
+    """i, v and g of the nearest points of each query i, exactly; its own point counts where others have the same vector."""
+
+    def best(batches):
+        top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in own]
+        for b in batches:
+            p, single = np.asarray(b.column(0)), b.column(2).to_pylist()
+            score = _matrix(b.column(1)) @ q.T
+            row = {k: i for i, k in enumerate(single) if k is not None}
+            for i, k in enumerate(own):
+                if k in row:
+                    score[row[k], i] = -np.inf
+                sc, at = np.concatenate([top[i][0], score[:, i]]), np.concatenate([top[i][1], p])
+                o = np.argsort(-sc, kind="stable")[: s.nearest]
+                top[i] = sc[o], at[o]
+        n = [len(a) for a, _ in top]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), n), pa.int32()), pa.array(np.concatenate([p for _, p in top])), pa.array(np.concatenate([a for a, _ in top]))], ["i", "p", "score"])
+
+    found = points.select("p", "v", F.when(F.size("ids") == 1, F.col("ids")[0]).alias("single")).mapInArrow(best, "i int, p long, score double")
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "p"))
+    top = found.filter(F.col("score") > float("-inf")).withColumn("r", rank).filter(F.col("r") <= s.nearest)
+    return top.join(points.select("p", "v", "g"), "p").select("i", "v", "g").collect()

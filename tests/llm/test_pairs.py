@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ragframe.llm.neardup import components, jaccard, near_duplicates, samples
-from ragframe.llm.neighbours import neighbours, probe_sets
+from ragframe.llm.neighbours import Settings, neighbours, probe_sets
 
 
 def shingle_set(t):
@@ -87,6 +87,33 @@ def test_neighbours_against_brute_force(spark):
     assert set(got) == set(range(0, 1500, 20)) and hit / (20 * len(got)) >= 0.9
 
 
+def recall(spark, x, s):
+    """Share of the true 20 nearest that every 20th vector finds; each finds 20 rows."""
+    got = {}
+    for r in neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, s).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, len(x), 20)) and all(len(g) == 20 for g in got.values())
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    return np.mean([len(set(got[q]) & set(np.argsort(-score[q])[:20].tolist())) / 20 for q in got])
+
+
+def test_neighbours_of_unequal_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one = x.copy()
+    one[5] *= 10
+    assert recall(spark, one, Settings()) >= 0.9
+    assert recall(spark, x * rng.lognormal(0, 1.5, (2000, 1)), Settings()) >= 0.9
+
+
+def test_neighbours_lower_the_functions_until_enough_is_found(spark):
+    x = np.random.default_rng(7).standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x, Settings(tables=2, probes=4)) >= 0.9
+
+
 def test_few_vectors_give_all(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r.vec_id) for r in neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
