@@ -8,6 +8,8 @@
 4. The others get consistent weighted samples (Ioffe 2010), banded. A band's bucket that is small gives all its pairs; a large one
    is narrowed by further samples, and each of its texts is paired with the bucket's first text at every width.
 5. Pairs are verified by weighted Jaccard similarity; classes are the connected components of what stays.
+6. What a large bucket has not paired is compared too, block by block: all its texts outside its largest class with all of another
+   class. Links found there join classes. So all pairs of every bucket are compared, but for those already in one class.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.llm.blocks import KEYS, blocked, key_table, received, sent
-from ragframe.llm.common import arrow_batches, cut, mix, release, shards, text_bytes, word_hashes
+from ragframe.llm.common import arrow_batches, cut, mix, release, shards, spread, text_bytes, word_hashes
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -41,6 +43,9 @@ class Settings:
     #: they differ and frequent ones where they agree, so a wide span would part them: 0.03 keeps 0.8 close to the plain measure.
     idf_span: float = 0.03
     block_mb: float = 4.0
+    #: Texts and megabytes of vectors of a block, where a large bucket is compared in blocks.
+    bucket_texts: int = 400
+    bucket_mb: float = 4.0
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,19 +195,23 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
 
     signed = cut(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(sign, f"id {kind}, total double, vector binary, sig array<long>"))
     release(docs.sparkSession)
-    pairs = candidate_pairs(signed.select("id", "sig"), s)
-    links = cut(verified(pairs, signed.select("id", "vector", "total"), s))
-    classes = components(links)
-    joined = owner.join(classes, owner["first"] == classes["node"], "left")
-    return joined.select(F.col("id").alias(key), F.coalesce("label", "first").alias("class_id"))
+    at = buckets(signed.select("id", "sig"), s)
+    links = cut(verified(candidate_pairs(at, s), signed.select("id", "vector", "total"), s))
+    classes = cut(components(links))
+    joined = owner.join(classes, owner["first"] == classes["node"], "left").select("id", F.coalesce("label", "first").alias("label"))
+    crossing = cut(across(at, classes, signed.select("id", "vector"), s))
+    if not crossing.isEmpty():
+        merged = components(crossing).select(F.col("node").alias("label"), F.col("label").alias("into"))
+        joined = joined.join(merged, "label", "left").select("id", F.coalesce("into", "label").alias("label"))
+    return joined.select(F.col("id").alias(key), F.col("label").alias("class_id"))
 
 
 def id_type(t: pa.Table) -> pa.DataType:
     return t.schema.field("id").type
 
 
-def candidate_pairs(signed: DataFrame, s: Settings) -> DataFrame:
-    """Distinct pairs a < b: all of a small bucket; in a large one, each text with the first at every width."""
+def buckets(signed: DataFrame, s: Settings) -> DataFrame:
+    """id, width, band, bucket, texts of it and its first text, of every text that shares a bucket."""
     keys = []
     for band in range(s.bands):
         for w in s.widths:
@@ -211,8 +220,12 @@ def candidate_pairs(signed: DataFrame, s: Settings) -> DataFrame:
             if w < s.bands or band == 0:
                 keys.append(F.struct(F.lit(w).alias("w"), F.lit(band).alias("band"), F.xxhash64(F.lit(w), F.lit(band if w < s.bands else -1), *part).alias("k")))
     rows = signed.select("id", F.explode(F.array(*keys)).alias("x")).select("id", "x.w", "x.band", "x.k")
-    buckets = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
-    at = cut(rows.join(buckets, "k"))
+    shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
+    return cut(rows.join(shared, "k"))
+
+
+def candidate_pairs(at: DataFrame, s: Settings) -> DataFrame:
+    """Distinct pairs a < b: all of a small bucket; in a large one, each text with the first at every width."""
     stars = at.filter((F.col("id") != F.col("first")) & ((F.col("n") > s.small) | (F.col("w") == s.bands))).select(F.col("first").alias("a"), F.col("id").alias("b"))
     # the first width at which a text's bucket is small: there all pairs are formed
     tight = at.filter(F.col("n") <= s.small).groupBy("id", "band").agg(F.min_by("k", "w").alias("k")).select("k", "id")
@@ -222,6 +235,87 @@ def candidate_pairs(signed: DataFrame, s: Settings) -> DataFrame:
     return stars.unionByName(near).distinct()
 
 
+def across(at: DataFrame, classes: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between classes, by their labels, that the pairs of large buckets give.
+
+    Blocks of the texts outside a bucket's largest class meet each other and the blocks of that class. A pair of blocks tells as many
+    links as join its classes, not all.
+    """
+    own = at.filter((F.col("w") == s.widths[0]) & (F.col("n") > s.small)).select("k", "id")
+    own = own.join(classes, own["id"] == classes["node"], "left").select("k", "id", F.coalesce("label", "id").alias("label"))
+    own = cut(own.join(vectors.select("id", F.length("vector").alias("bytes")), "id"))
+    sizes = own.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
+    main = sizes.groupBy("k").agg(F.max(F.struct("c", "label", "bytes")).alias("main"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes")).filter(F.col("c") > F.col("main.c"))
+    blocks = lambda c, b: F.greatest(F.ceil(c / s.bucket_texts), F.ceil(b / (s.bucket_mb * 1e6))).cast("int")
+    main = main.select("k", F.col("main.label").alias("most"), blocks(F.col("c") - F.col("main.c"), F.col("bytes") - F.col("main.bytes")).alias("rest"), blocks(F.col("main.c"), F.col("main.bytes")).alias("of_most"))
+    in_most, h = F.col("label") == F.col("most"), F.xxhash64("id")
+    placed = own.join(main, "k").withColumn("block", F.when(in_most, F.col("rest") + F.pmod(h, F.col("of_most"))).otherwise(F.pmod(h, F.col("rest"))).cast("int"))
+    meets = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    before = lambda n: F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: meets(i, F.col("block"), False))
+    after = F.transform(F.sequence("block", F.col("rest") + F.col("of_most") - 1), lambda j: meets(F.col("block"), j, True))
+    dealt = placed.withColumn("x", F.explode(F.when(in_most, before(F.col("rest"))).otherwise(F.concat(before(F.col("block")), after))))
+    dealt = dealt.select("k", "x.i", "x.j", "x.left", "id", "label").join(vectors.select("id", "vector"), "id")
+    kind = at.schema["id"].dataType.simpleString()
+
+    def compare(t: pa.Table) -> pa.Table:
+        label = t["label"].combine_chunks()
+        label = pa.concat_arrays(label.chunks) if isinstance(label, pa.ChunkedArray) else label
+        coded = label.dictionary_encode()
+        code = np.asarray(coded.indices).astype(np.int64)
+        left = np.flatnonzero(np.asarray(t["left"]))
+        sim = similarities([x.as_buffer() for x in t["vector"]], left)
+        a, b = np.nonzero((sim >= s.threshold - 1e-6) & (code[left][:, None] != code[None, :]))
+        a, b = code[left[a]], code[b]
+        parent = list(range(len(coded.dictionary)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for x, y in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).tolist():
+            if root(x) != root(y):
+                parent[root(x)] = root(y)
+                out.append((x, y))
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([coded.dictionary.take(pa.array(ends[:, i])) for i in (0, 1)], ["a", "b"])
+
+    return dealt.groupBy("k", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
+def similarities(raw: list, left: np.ndarray, wide: int = 4096) -> np.ndarray:
+    """jaccard() of the vectors `left` with all, (left, all). A sum of minima is one over shared steps of weight."""
+    vec = [_vector(x) for x in raw]
+    row = np.repeat(np.arange(len(vec)), [len(a) for a, _ in vec])
+    sh, w = np.concatenate([a for a, _ in vec]), np.concatenate([b for _, b in vec])
+    total = np.bincount(row, w, len(vec))
+    order = np.lexsort((w, sh))
+    row, sh, w = row[order], sh[order], w[order]
+    new_sh = np.concatenate([[True], sh[1:] != sh[:-1]])
+    # shingles of one text alone add to its sum only
+    group = np.cumsum(new_sh) - 1
+    keep = np.bincount(group)[group] > 1
+    row, sh, w = row[keep], sh[keep], w[keep]
+    low = np.zeros((len(left), len(vec)))
+    if len(row):
+        new_sh = np.concatenate([[True], sh[1:] != sh[:-1]])
+        new = new_sh | np.concatenate([[True], w[1:] != w[:-1]])
+        step = np.cumsum(new) - 1
+        first = np.maximum.accumulate(np.where(new_sh, step, 0))
+        size = w[new] - np.where(new_sh[new], 0, np.concatenate([[0], w[new][:-1]]))
+        m = step - first + 1
+        row, step = np.repeat(row, m), np.repeat(first, m) + spread(m)
+        order = np.argsort(step, kind="stable")
+        row, step = row[order], step[order]
+        for i in range(0, len(size), wide):
+            a, b = np.searchsorted(step, [i, i + wide])
+            x = np.zeros((len(vec), min(wide, len(size) - i)))
+            x[row[a:b], step[a:b] - i] = 1
+            low += (x[left] * size[i : i + wide]) @ x.T
+    return low / (total[left][:, None] + total[None, :] - low)
+
+
 def verified(pairs: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
     """Pairs whose weighted Jaccard similarity is the threshold or more: a, b, similarity."""
     left = vectors.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("total").alias("ta"))

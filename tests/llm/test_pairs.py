@@ -4,7 +4,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from ragframe.llm.neardup import components, jaccard, near_duplicates, samples
+from ragframe.llm.neardup import Settings as Near
+from ragframe.llm.neardup import components, jaccard, near_duplicates, samples, similarities
 from ragframe.llm.neighbours import Settings, neighbours, probe_sets
 
 
@@ -37,6 +38,42 @@ def test_near_duplicates_against_brute_force(spark, prose):
     assert all(got[i] == min(k for k in got if got[k] == got[i]) for i in got)
 
 
+def test_all_pairs_of_large_buckets_are_compared(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(500):
+        edit = list(base)
+        for j in range(2):
+            edit[rng.randrange(100)] = f"new{i}-{j}"
+        texts.append(" ".join(edit))
+    # small blocks, so that a bucket has several
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Near(bucket_texts=90)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    sim = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+
+    def classes(least):
+        label = np.arange(len(sets))
+        while (low := np.where(sim >= least, label[None, :], len(sets)).min(1)).tolist() != label.tolist():
+            label = low
+        return label
+
+    # rare and frequent shingles weigh 1.03 to 1, so a similarity near the threshold may fall on either side
+    sure, may = classes(0.81), classes(0.79)
+    for i in range(len(sets)):
+        assert got[i] == got[int(sure[i])] and may[i] == may[got[i]]
+
+
+def test_similarities_are_those_of_pairs():
+    rng = np.random.default_rng(5)
+    vec = []
+    for _ in range(30):
+        sh = np.unique(rng.integers(1, 60, 40).astype(np.uint64))
+        vec.append(sh.tobytes() + (rng.integers(1, 4, len(sh)) * rng.uniform(1, 1.03, len(sh))).astype("<f4").tobytes())
+    left = np.array([0, 3, 29])
+    assert np.allclose(similarities(vec, left, 16), [[jaccard(vec[i], v) for v in vec] for i in left])
+
+
 def test_near_duplicate_edges(spark, odd_docs):
     got = {r.doc_id: r.class_id for r in near_duplicates(odd_docs).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
