@@ -20,6 +20,10 @@ from ragframe.llm.common import arrow_batches, pieces, prefix_hash, span_hash, s
 from ragframe.llm.gru import F32, Adam, backward, direction, forward, sigmoid
 
 
+#: Bytes of a word that are one input; longer words are several.
+PIECE = 64
+
+
 @dataclass(frozen=True)
 class Settings:
     """The sample's bounds and the network's size."""
@@ -61,19 +65,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, text:
     return [(r["_text"], r["_y"]) for r in rows]
 
 
+def in_pieces(row: np.ndarray, start: np.ndarray, end: np.ndarray, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words() with those of over `most` bytes as consecutive pieces of at most so many, each `overlap` bytes into the next."""
+    step = most - overlap
+    n = np.maximum(1, -(-(end - start - overlap) // step))
+    first = np.repeat(start, n) + spread(n) * step
+    return np.repeat(row, n), first, np.minimum(first + most, np.repeat(end, n))
+
+
 class Words:
-    """Distinct words of texts: bucket of each and its character n-grams' buckets."""
+    """Distinct words of texts: bucket of each and its character n-grams' buckets. Long words, as in text without spaces, are pieces."""
 
     def __init__(self, s: Settings, data: np.ndarray, off: np.ndarray):
         lower = data.copy()
         up = (data >= 65) & (data <= 90)
         lower[up] += 32
-        self.row, start, end = words(lower, off)
+        # pieces overlap by so much that every n-gram is in one of them
+        self.row, start, end = in_pieces(*words(lower, off), PIECE, max(s.grams) - 1)
         h = span_hash(prefix_hash(lower), start, end)
         u, at, self.word = np.unique(h, return_index=True, return_inverse=True)
         self.bucket = (u % np.uint64(s.word_buckets)).astype(np.int64)
         # the distinct words between spaces, end to end, so that n-grams see where a word begins and ends
-        a, n = start[at], np.minimum(end[at] - start[at], 64)
+        a, n = start[at], end[at] - start[at]
         body = np.full(int((n + 2).sum()), 32, np.uint8)
         head = np.cumsum(n + 2) - (n + 2)
         body[np.repeat(head + 1, n) + spread(n)] = lower[np.repeat(a, n) + spread(n)]

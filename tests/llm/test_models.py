@@ -68,6 +68,30 @@ def test_windows_cover_every_word():
         assert set(w.windows(s)[1].reshape(-1).tolist()) - {-1} == set(range(n))
 
 
+def test_every_byte_of_a_long_word_is_read():
+    s = t.Settings()
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 124, 125, 500):
+        raw = rng.integers(97, 123, n).astype(np.uint8)
+        w = t.Words(s, raw, np.array([0, n]))
+        for g in s.grams:
+            for i in range(n - g + 1):
+                # as one word of its own the n-gram is the same bytes between spaces
+                alone = t.Words(s, raw[i : i + g].copy(), np.array([0, g]))
+                assert set(alone.gram.tolist()) & set(w.gram.tolist()), (n, g, i)
+        assert set(w.windows(s)[1].reshape(-1).tolist()) - {-1} == set(range(len(w.bucket)))
+
+
+def test_toxicity_reads_text_without_spaces(spark, prose):
+    s = t.Settings(epochs=12)
+    joined = lambda n: prose(n).replace(" ", "")
+    sample = [(joined(40) + ("vilekind" if i % 3 == 0 else "") + joined(40), int(i % 3 == 0)) for i in range(1200)]
+    m = t.train(sample, s)
+    df = spark.createDataFrame([(i, joined(60) + ("vilekind" if i % 2 else "") + joined(30)) for i in range(40)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in t.toxicity(df, m).collect()}
+    assert sum(got[i] == i % 2 for i in got) >= 34
+
+
 def test_filter_reads_quantised_counts():
     m = Model()
     rng = np.random.default_rng(1)
