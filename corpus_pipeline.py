@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragframe.llm import toxicity as tox
@@ -46,11 +46,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, that of the smallest id."""
+    """Keeps one document of each class, that of the smallest id, and one row of it where rows repeat the id; null ids stay."""
     ship(spark)
     docs = docs.select(*COLUMNS)
     classes = near_duplicates(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").select(*COLUMNS)
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(*COLUMNS[1:]))
+    kept = docs.join(classes, "doc_id", "left_semi").select(*COLUMNS, one.alias("_n")).filter("_n = 1").select(*COLUMNS)
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

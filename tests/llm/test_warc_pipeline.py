@@ -45,3 +45,13 @@ def test_pipeline_stages(spark, tmp_path):
         if i >= 3:
             assert ids == before
         before = ids
+
+
+def test_one_row_of_a_class_stays_and_null_ids_too(spark, prose):
+    import corpus_pipeline as c
+
+    a, b, d = prose(60), prose(60), prose(60)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (None, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in c.near_duplicate_documents(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (3, b), (None, d), (None, d)], key=str)
