@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragframe.llm.neardup import Settings as Near
 from ragframe.llm.neardup import components, jaccard, near_duplicates, samples, similarities
-from ragframe.llm.neighbours import Settings, neighbours, probe_sets
+from ragframe.llm.neighbours import Hasher, Range, Settings, directions, neighbours, templates
 
 
 def shingle_set(t):
@@ -97,11 +98,28 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {k: v for k, v in got.items() if k != v} == want
 
 
-def test_probes_come_in_order_of_score():
-    place = np.array([0.1, 0.45, 0.8])
-    sets = probe_sets(place, 20)
-    score = [sum(place[i] ** 2 if d < 0 else (1 - place[i]) ** 2 for i, d in s) for s in sets]
-    assert sets[0] == [] and score == sorted(score) and len({tuple(sorted(s)) for s in sets}) == len(sets) == 20
+def test_probes_come_in_order_of_expected_score():
+    m, n = 4, 40
+    far = lambda j: 2 * m + 1 - j
+    score = [j * (j + 1) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - far(j) / (m + 1) + far(j) * (far(j) + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, 2 * m + 1)]
+    sets = [tuple(x for x in row if x < 2 * m) for row in templates(m, n).tolist()]
+    total = [sum(score[i] for i in t) for t in sets]
+    # every subset that moves no function twice, in order
+    want = sorted(sum(score[i] for i in c) for r in range(m + 1) for c in itertools.combinations(range(2 * m), r) if len({min(i, 2 * m - 1 - i) for i in c}) == r)[:n]
+    assert sets[0] == () and len(set(sets)) == n and np.allclose(total, want)
+
+
+def test_probed_keys_are_those_of_moved_points():
+    x = np.random.default_rng(9).standard_normal((5, 8))
+    h = Hasher(8, {0: Range(4.0, 0.7, 3)}, Settings(tables=2))
+    keys = h.query_keys(x, 0, 27)  # all moves of three functions
+    assert keys.shape == (5, 2, 27) and all(len(set(k.tolist())) == 27 for q in keys for k in q)
+    y = np.concatenate([directions(x), np.zeros((5, 1))], 1)
+    slots = np.floor(np.tensordot(y, h.a, 1) / 0.7 + h.b).astype(np.int64)
+    for moves in itertools.product((-1, 0, 1), repeat=3):
+        sums = ((slots + np.array(moves)).view(np.uint64) * h.step).sum(2, dtype=np.uint64)
+        own = h._keys(sums, 0, 0)
+        assert all(own[i, t] in keys[i, t] for i in range(5) for t in range(2))
 
 
 def test_neighbours_against_brute_force(spark):
@@ -155,3 +173,27 @@ def test_few_vectors_give_all(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r.vec_id) for r in neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert neighbours(df.filter("vec_id < 0"), F.lit(True)).count() == 0
+
+
+def test_neighbours_with_repeated_keys_and_vectors_and_clashing_names(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((300, 8))
+    x[40:140] = x[0]
+    rows = [(i, v.tolist(), 1.0, 2, "k", 3) for i, v in enumerate(x)] + [(20, x[20].tolist(), 1.0, 2, "k", 3), (21, (x[21] + 9).tolist(), 1.0, 2, "k", 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int, p string, h int")
+    x[21] = min(x[21].tolist(), (x[21] + 9).tolist())  # the least vector stands for a repeated key
+    got = {}
+    for r in neighbours(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = sorted(got[q])
+        want = np.lexsort((np.arange(300), -np.round(s, 9)))[:20].tolist()
+        assert [m[0] for m in mine] == list(range(1, 21)) and len({m[1] for m in mine}) == 20
+        assert len({m[1] for m in mine} & set(want)) >= 18
+    equal = [m[1] for m in sorted(got[0]) if 40 <= m[1] < 140]
+    assert equal and equal == list(range(40, 40 + len(equal)))  # of equal vectors the smaller keys
+    assert neighbours(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
+    texts = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.5, 0.0])], "vec_id string, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in neighbours(texts, F.col("vec_id") == "b").orderBy("rank").collect()] == [("b", "a"), ("b", "c")]
