@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import arrow_batches, cut, pieces, prefix_hash, span_hash, text_bytes, words
-from ragframe.llm.tokens import PartTable, gather
+from ragframe.llm.bpe import LetterBPE, letter_bytes
+from ragframe.llm.common import arrow_batches, cut, pieces, prefix_hash, span_hash, spread, text_bytes, words
+from ragframe.llm.tokens import PartTable, flat_bytes
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,9 @@ _CLASS[65:91] = _CLASS[97:123] = 1
 
 
 def at_class_changes(d: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut where an ASCII letter, digit or punctuation mark follows another of these kinds."""
+    """Words cut where a Latin letter, ASCII digit or punctuation mark follows another of these kinds."""
     c = _CLASS[d]
+    c[letter_bytes(d)] = 1
     inside = np.zeros(len(d) + 1, bool)
     inside[1:-1] = (c[1:] != c[:-1]) & (c[1:] > 0) & (c[:-1] > 0)
     cuts = np.flatnonzero(inside)
@@ -62,7 +64,7 @@ def at_class_changes(d: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.
 
 def encode_parts(tok, parts: list[str], at_once: int = 2000) -> list[bytes]:
     """Ids of each part as bytes. Parts go to the tokenizer together, between marks; its objects for each call are large."""
-    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    ids = lambda t: tok.encode_batch_fast([t], add_special_tokens=False)[0].ids
     mark = ids(BETWEEN)[0]
     out = []
     for i in range(0, len(parts), at_once):
@@ -76,23 +78,71 @@ def encode_parts(tok, parts: list[str], at_once: int = 2000) -> list[bytes]:
     return out
 
 
+class PartEncoder:
+    """Ids of parts: words of Latin letters by the tokenizer's merges, many at once; all others by the library.
+
+    The first words of each task go through both; where they differ, or the file is of another kind, all go to the library.
+    """
+
+    def __init__(self, path: str, checked: int = 200):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.checked = checked
+        try:
+            self.letters = LetterBPE(path)
+        except (ValueError, KeyError):
+            self.letters = None
+
+    def special(self) -> list[bytes]:
+        return [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+
+    def by_library(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return flat_bytes(encode_parts(self.tok, [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<u4")
+
+    def __call__(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.letters is None:
+            return [self.by_library(raw, start, end)]
+        d = np.frombuffer(raw, np.uint8)
+        odd = np.concatenate([[0], np.cumsum(~letter_bytes(d))])
+        plain = (odd[end] == odd[start]) & (end - start <= self.letters.longest)
+        at, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, size = self.letters.encode(d, start[at], end[at])
+        if self.checked and len(at):
+            some = at[: self.checked]
+            self.checked = max(0, self.checked - len(some))
+            want, n = self.by_library(raw, start[some], end[some])
+            if not np.array_equal(n, size[: len(some)]) or not np.array_equal(want, ids[: int(n.sum())]):
+                self.letters = None
+                return [self.by_library(raw, start, end)]
+        if not len(rest):
+            return [(ids.astype("<u4"), size)]
+        other, other_size = self.by_library(raw, start[rest], end[rest])
+        # both kinds back in the order of the parts
+        n = np.zeros(len(start), np.int64)
+        n[at], n[rest] = size, other_size
+        first = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), "<u4")
+        out[np.repeat(first[at], size) + spread(size)] = ids
+        out[np.repeat(first[rest], other_size) + spread(other_size)] = other
+        return [(out, n)]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, p: Packing, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, row (tells repeated keys apart), piece, start, length, ids_crc32 of every document's ids with the separator after them.
 
-    Parts that no pre-token crosses (words, cut again where ASCII letters, digits and punctuation meet) are encoded once for each
+    Parts that no pre-token crosses (words, cut again where Latin letters, digits and punctuation meet) are encoded once for each
     task's table, in either case alike, and joined by position.
     """
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        tok.no_truncation()
-        tok.no_padding()
-        special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
-        known = PartTable(lambda parts: [(x, b"") for x in encode_parts(tok, parts)])
+        encoder = PartEncoder(tokenizer)
+        special = encoder.special()
+        known = PartTable(encoder, ("<u4",))
         for b in batches:
             data, off = text_bytes(b.column(2))
             out: list[list] = [[], [], [], [], [], []]
@@ -105,8 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, p: Packing, key: str = "doc_id
                 if plain:
                     row, start, end = at_class_changes(d, row, start, end)
                 h = span_hash(prefix_hash(d, lower=plain), start, end)
-                values, inv = known.look_up(raw, start, end, h) if len(h) else ([], np.zeros(0, np.int64))
-                ids, n = gather([v[0] for v in values], inv, 4)
+                ((ids, n),) = known.look_up(raw, start, end, h)
                 ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(row, np.arange(j - i + 1))]
                 for k in range(j - i):
                     own = ids[ends[k] : ends[k + 1]].tobytes() + np.array([p.separator], "<u4").tobytes()
@@ -124,10 +173,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, p: Packing, key: str = "doc_id
 # A grouping is a list of bins; a bin is a list of piece numbers. Sizes are in `size`, capacity in `cap`.
 
 
-def best_fit(bins: list[list[int]], load: list[int], loose: list[int], size: list[int], cap: int) -> None:
-    """Puts the loose pieces, largest first, each into the fullest bin that has room, or else into a new one."""
+def best_fit(bins: list[list[int]], load: list[int], loose: list[int], size: list[int], cap: int, largest_first: bool = True) -> None:
+    """Puts the loose pieces, largest first or as they come, each into the fullest bin that has room, or else into a new one."""
     rest = sorted((cap - load[k], k) for k in range(len(bins)) if load[k] < cap)
-    for x in sorted(loose, key=lambda i: -size[i]):
+    for x in sorted(loose, key=lambda i: -size[i]) if largest_first else loose:
         at = bisect.bisect_left(rest, (size[x], -1))
         if at == len(rest):
             bins.append([x])
@@ -176,37 +225,35 @@ def _refill(bins: list[list[int]], loose: list[int], size: list[int], cap: int)
     return bins
 
 
+def perfect(bins: list[list[int]], size: list[int], p: Packing) -> bool:
+    """Whether nothing can be better: as few bins as the pieces' sum needs, and all but one settled."""
+    if len(bins) > -(-sum(size) // p.capacity):
+        return False
+    return sum(sum(size[i] for i in b) < p.settled * p.capacity for b in bins) <= 1
+
+
 def evolve(people: list[list[list[int]]], size: list[int], p: Packing, rng: random.Random) -> list[list[list[int]]]:
-    """Generations of one island; ends at once when a grouping has no bin more than the pieces' sum needs."""
-    cap, least = p.capacity, -(-sum(size) // p.capacity)
-    rank = lambda x: fitness(x, size, cap)
+    """Generations of one island; ends when a grouping is perfect."""
+    rank = lambda x: fitness(x, size, p.capacity)
     people = sorted(people, key=rank, reverse=True)
     for _ in range(p.generations):
-        if len(people[0]) <= least:
+        if perfect(people[0], size, p):
             break
         a, b = rng.sample(people[: max(2, len(people) // 2 + 1)], 2) if len(people) > 1 else (people[0], people[0])
-        young = [crossover(a, b, size, cap, rng), crossover(b, a, size, cap, rng), mutate(people[0], size, cap, rng)]
+        young = [crossover(a, b, size, p.capacity, rng), crossover(b, a, size, p.capacity, rng), mutate(people[0], size, p.capacity, rng)]
         people = sorted(people + young, key=rank, reverse=True)[: p.population]
     return people
 
 
-def _first_people(size: list[int], p: Packing, rng: random.Random) -> list[list[list[int]]]:
+def first_people(size: list[int], p: Packing, rng: random.Random) -> list[list[list[int]]]:
+    """Individuals of an island's first generation: the pieces best-fitted as they come, in an order of chance for each."""
     people = []
-    for k in range(p.population):
+    for _ in range(p.population):
         order = list(range(len(size)))
+        rng.shuffle(order)
         bins: list[list[int]] = []
-        load: list[int] = []
-        if k:  # all but the first: a few random pieces first, each in a bin of its own
-            rng.shuffle(order)
-            first = order[: max(1, len(order) // 50)]
-            for i in first:
-                bins.append([i])
-                load.append(size[i])
-            order = order[len(first) :]
-        best_fit(bins, load, order, size, p.capacity)
+        best_fit(bins, [], order, size, p.capacity, largest_first=False)
         people.append(bins)
-        if k == 0 and len(bins) <= -(-sum(size) // p.capacity):
-            break  # nothing can be better
     return people
 
 
@@ -241,7 +288,8 @@ def pack(docs: DataFrame, tokenizer: str, p: Packing = Packing(), key: str = "do
     kind = docs.schema[key].dataType.simpleString()
     item = ITEM.format(kind=kind)
     made = cut(token_pieces(docs, tokenizer, p, key, text))
-    full = made.filter(F.col("length") == p.capacity).withColumn("sequence_id", F.xxhash64("row", "piece")).withColumn("offset", F.lit(0).cast("long"))
+    # sequences of one full piece have numbers below 0, others level, region and bin: no two are alike
+    full = made.filter(F.col("length") == p.capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     done = [full]
     loose = made.filter(F.col("length") < p.capacity)
     n, level = loose.count(), 0
@@ -277,10 +325,7 @@ def _level(loose: DataFrame, regions: int, level: int, last: bool, item: str, p:
         rows = []
         for k in range(p.islands):
             rng = random.Random(f"{level}:{keys[0]}:{k}")
-            people = _first_people(size, p, rng)
-            rows.append((keys[0], k, size, _groups(people, len(size))))
-            if len(people[0]) <= -(-sum(size) // p.capacity):
-                break  # the bound is met: no island can do better
+            rows.append((keys[0], k, size, _groups(first_people(size, p, rng), len(size))))
         return pd.DataFrame(rows, columns=["region", "island", "size", "people"])
 
     island = "region int, island int, size array<int>, people array<array<int>>"
@@ -311,17 +356,16 @@ def _level(loose: DataFrame, regions: int, level: int, last: bool, item: str, p:
         size = items["length"].tolist()
         best = max((_bins([int(x) for x in at]) for people in islands.sort_values("island")["people"] for at in people), key=lambda b: fitness(b, size, p.capacity))
         seq, off, ok = [0] * len(size), [0] * len(size), [False] * len(size)
-        for b in best:
+        for k, b in enumerate(best):
             load = sum(size[i] for i in b)
-            number = int(items["number"][b[0]])
+            number = level << 57 | int(keys[0]) << 24 | k
             at = 0
             for i in b:
                 seq[i], off[i], ok[i] = number, at, last or load >= p.settled * p.capacity
                 at += size[i]
-        return items.drop(columns=["region", "number"]).assign(sequence_id=seq, offset=off, settled=ok)
+        return items.drop(columns=["region"]).assign(sequence_id=seq, offset=off, settled=ok)
 
-    numbered = dealt.withColumn("number", F.xxhash64("row", "piece"))
-    return numbered.groupBy("region").cogroup(world.select("region", "island", "people").groupBy("region")).applyInPandas(settle, f"{item}, sequence_id long, offset long, settled boolean")
+    return dealt.groupBy("region").cogroup(world.select("region", "island", "people").groupBy("region")).applyInPandas(settle, f"{item}, sequence_id long, offset long, settled boolean")
 
 
 def _by_region():

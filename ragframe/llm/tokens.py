@@ -15,42 +15,138 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import arrow_batches, prefix_hash, span_hash, spread, text_bytes
+from ragframe.llm.common import arrow_batches, prefix_hash, span_hash, text_bytes
 
 MARK = "▁"
 #: Stands before each part when it is encoded alone; no piece joins it with what follows (checked for every part).
 ANCHOR = "\n"
 #: Distinct parts that a task keeps; when there are more, its table starts anew. It bounds memory and changes no result.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 1_000_000
+_ROUNDS = 4
+
+
+class HashTable:
+    """Numbers of distinct 64-bit hashes in flat arrays: a hash lies in one of four slots, or among the few that found none free."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.count = 0
+        self._clear(slots)
+
+    def _clear(self, slots: int) -> None:
+        self.keys, self.numbers = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self.rest: dict[int, int] = {}
+
+    def _slot(self, h: np.ndarray, turn: int) -> np.ndarray:
+        return ((h >> np.uint64(13 * turn)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        left = None
+        for turn in range(_ROUNDS):
+            own = h if left is None else h[left]
+            at = self._slot(own, turn)
+            number = self.numbers[at]
+            held = number >= 0
+            hit = held & (self.keys[at] == own)
+            # a free slot would have been taken: such a hash isn't in the table
+            on = np.flatnonzero(held & ~hit)
+            if left is None:
+                out[hit] = number[hit]
+                left = on
+            else:
+                out[left[hit]] = number[hit]
+                left = left[on]
+            if not len(left):
+                break
+        if self.rest and len(left):
+            out[left] = [self.rest.get(k, -1) for k in h[left].tolist()]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers distinct hashes that aren't in the table, in their order."""
+        new = np.arange(self.count, self.count + len(h), dtype=np.int32)
+        self.count += len(h)
+        if self.count > len(self.keys) // 3:
+            slots = len(self.keys)
+            while self.count > slots // 6:
+                slots *= 2
+            old = self.numbers >= 0
+            keys, numbers = np.concatenate([self.keys[old], np.array(list(self.rest), np.uint64), h]), np.concatenate([self.numbers[old], np.array(list(self.rest.values()), np.int32), new])
+            self._clear(slots)
+        else:
+            keys, numbers = h, new
+        for turn in range(_ROUNDS):
+            at = self._slot(keys, turn)
+            free = self.numbers[at] < 0
+            self.numbers[at[free]] = numbers[free]  # of several for one slot the last stays
+            mine = self.numbers[at] == numbers
+            self.keys[at[mine]] = keys[mine]
+            keys, numbers = keys[~mine], numbers[~mine]
+            if not len(keys):
+                return
+        self.rest.update(zip(keys.tolist(), numbers.tolist(), strict=True))
+
+
+class Flat:
+    """Values of numbered parts end to end; both arrays grow by doubling."""
+
+    def __init__(self, kind: str):
+        self.flat, self.ends, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, items: np.ndarray, size: np.ndarray) -> None:
+        """Values of the next len(size) parts."""
+        had = int(self.ends[self.n])
+        while len(self.flat) < had + len(items):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.ends) < self.n + len(size) + 1:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[had : had + len(items)] = items
+        self.ends[self.n + 1 : self.n + 1 + len(size)] = had + np.cumsum(size)
+        self.n += len(size)
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the parts by position end to end, and the size of each."""
+        first = self.ends[number]
+        n = self.ends[number + 1] - first
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(first - (ends - n), n) + np.arange(total)], n
 
 
 class PartTable:
-    """Ids (and decoded bytes) of distinct parts by hash; `encode` gets a list of parts and returns a pair of byte strings for each."""
-
-    def __init__(self, encode: Callable[[list[str]], list[tuple[bytes, bytes]]], entries: int = TABLE_ENTRIES):
-        self.encode, self.entries, self.known = encode, entries, {}
-
-    def look_up(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-        """A value for each distinct part, and the number of its value for each part."""
-        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.entries:
-            self.known.clear()
-        known, keys = self.known, u.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            s, e = start[at[new]].tolist(), end[at[new]].tolist()
-            for i, v in zip(new, self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)]), strict=True):
-                known[keys[i]] = v
-        return [known[k] for k in keys], inv
-
-
-def gather(values: list[bytes], inv: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values by position end to end, as items of width bytes, and the number of items of each."""
-    size = np.array([len(v) for v in values], np.int64) // width
-    flat = np.frombuffer(b"".join(values), f"<u{width}" if width > 1 else np.uint8)
-    first = np.cumsum(size) - size
-    n = size[inv]
-    return flat[np.repeat(first[inv], n) + spread(n)], n
+    """Values (ids, and what else `encode` gives) of distinct parts by hash.
+
+    `encode` gets the bytes of all texts, the starts and the ends of distinct parts, and returns for each kind of value all items end
+    to end and the number of items of each part.
+    """
+
+    def __init__(self, encode: Callable[[bytes, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], kinds: tuple[str, ...], entries: int = TABLE_ENTRIES):
+        self.encode, self.entries, self.kinds = encode, entries, kinds
+        self._empty()
+
+    def _empty(self) -> None:
+        self.table, self.values = HashTable(), [Flat(k) for k in self.kinds]
+
+    def look_up(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each kind the values by position end to end, and the number of items of each part."""
+        if self.table.count > self.entries:
+            self._empty()
+        number = self.table.find(h)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
+            u, at, inv = np.unique(h[miss], return_index=True, return_inverse=True)
+            number[miss] = self.table.count + inv
+            self.table.add(u)
+            for flat, (items, size) in zip(self.values, self.encode(raw, start[miss[at]], end[miss[at]]), strict=True):
+                flat.add(items, size)
+        return [flat.gather(number) for flat in self.values]
+
+
+def flat_bytes(values: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Items of all values end to end, and the number of each."""
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64) // width
 
 
 def _piece_coder(path: str):
@@ -99,17 +195,18 @@ def sentencepiece_codes(docs: DataFrame, model: str, text: str = "text", keys: t
         surface = [bytes([int(p[3:-1], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         odd = {i for i in range(len(pieces)) if sp.is_control(i) or sp.is_unknown(i)}
 
-        def encode(parts: list[str]) -> list[tuple[bytes, bytes]]:
+        def encode(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             out = []
+            parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             for ids in sp.encode([ANCHOR + p for p in parts], num_threads=1):
                 if ids[: len(lead)] != lead:
                     raise ValueError("a piece joins a line feed with what follows it")
                 own = ids[len(lead) :]
                 plain = b"".join([surface[i] for i in own]) if odd.isdisjoint(own) else sp.decode(ids)[len(ANCHOR) :].encode()
                 out.append((array("I", own).tobytes(), plain))
-            return out
+            return [flat_bytes([x[0] for x in out], "<u4"), flat_bytes([x[1] for x in out], "u1")]
 
-        known = PartTable(encode)
+        known = PartTable(encode, ("<u4", "u1"))
         mark = np.frombuffer(MARK.encode(), np.uint8)
         for b in batches:
             data, off = text_bytes(b.column(b.schema.get_field_index(text)))
@@ -129,9 +226,7 @@ def sentencepiece_codes(docs: DataFrame, model: str, text: str = "text", keys: t
                 start = _part_starts(d, o, ends, mark)
                 end = np.append(start[1:], len(d)) if len(start) else start
                 h = span_hash(prefix_hash(d), start, end) if len(start) else np.zeros(0, np.uint64)
-                values, inv = known.look_up(raw, start, end, h) if len(start) else ([], np.zeros(0, np.int64))
-                ids, n_ids = gather([v[0] for v in values], inv, 4)
-                dec, n_dec = gather([v[1] for v in values], inv, 1)
+                (ids, n_ids), (dec, n_dec) = known.look_up(raw, start, end, h)
                 row_of = np.searchsorted(start, o)  # parts before each row
                 ci, cd = np.concatenate([[0], np.cumsum(n_ids)]), np.concatenate([[0], np.cumsum(n_dec)])
                 for k in range(j - i):
