@@ -2,17 +2,25 @@
 
 Base detectors find e-mail addresses, network addresses, card and telephone numbers with their places. Sanitisation follows
 Sanchez and Batet: a term discloses a protected entity where their pointwise mutual information, estimated from the corpus, comes
-near the entity's information content. Co-occurrence is counted over all lines; in a line that holds an entity, terms that disclose
-it are generalised (to their kind) or, where they disclose nearly all, removed.
+near the entity's information content. An entity is one address or number as it was found, in a normal form. Co-occurrence is
+counted over contexts: runs of some dozens of terms and entities of a line, so that a long line gives no more pairs than its length.
+In a context that holds an entity, terms that disclose it are generalised (to names or words) or, where they disclose nearly all,
+removed.
+
+Nothing here grows faster than a text: places are running sums in two levels (scan), a line's items are cut once, and spans meet
+their texts by a digest of the text, which no rerun of a lost task changes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragframe.llm.common import cut
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, written so that a long run costs no more than its length: a run is entered at its start alone (or where the
 # match before ended), and given up whole. They find what [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and the others find.
@@ -26,16 +34,55 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?+){15}[0-9]", "phone": r"\+[0-9]"}
 
 
+#: What a line without entities is cut into beside its letters, where it may have some: a number of a kind, or any other characters.
+TOKEN = "|".join([PATTERNS["phone"], PATTERNS["ip"], PATTERNS["card"], r"\p{L}++", r"[^\p{L}0-9+]++", r"[\s\S]"])
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+
+
 @dataclass(frozen=True)
 class Settings:
     #: A term discloses an entity where PMI(entity; term) >= IC(entity) / alpha.
     alpha: float = 1.25
     #: At this share of IC and above the term is removed; below, it is generalised.
     remove_share: float = 0.95
-    #: Lines that a term must share with an entity.
-    least_lines: int = 5
+    #: Terms and entities of a context.
+    context: int = 50
     #: Letters of a term.
     least_letters: int = 2
+    #: Places that the spans of a text are dealt over, since a text may be copied without bound.
+    copies: int = 16
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def runs(a: Column, size: int) -> Column:
+    """An array cut into arrays of `size` items; none of an empty one."""
+    n = F.size(a)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.slice(a, i * size + 1, size))
+    return F.when(n > 0, cuts).otherwise(F.slice(F.array(a), 1, 0))
+
+
+def scan(a: Column, merge: Callable[[Column, Column], Column], size: int = 128) -> Column:
+    """For each item of an array of int, what merge makes of all before it, from 0.
+
+    Each run of items is folded alone from what the runs before it give: appending to a short array costs little, to a long one much.
+    """
+    zero = F.lit(0)
+
+    def one(items: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda x, y: F.struct(merge(x["at"], y).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out"))
+        return F.aggregate(items, state, step, lambda x: x["out"])
+
+    return let(runs(a, size), lambda r: F.flatten(F.zip_with(r, one(F.transform(r, lambda x: F.aggregate(x, zero, merge)), zero), one)))
+
+
+def running(lengths: Column) -> Column:
+    """Where each item begins when items of these lengths lie end to end."""
+    return let(lengths, lambda x: scan(x, lambda a, b: a + b))
 
 
 def _digits(m: Column) -> Column:
@@ -60,123 +107,158 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, matches: str, between: str) -> Column:
+def _spans(text: Column, kind: str) -> Column:
     """Spans (kind, start, end) of the valid matches: places add up from the lengths of matches and of what lies between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("out"))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, x["m"]), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+    def places(x: Column) -> Column:
+        between = F.slice(x["between"], 1, F.size(x["found"]))
+        begins = running(F.zip_with(between, x["found"], lambda b, m: F.length(b) + F.length(m)))
+        starts = F.zip_with(begins, between, lambda i, b: i + F.length(b))
+        span = lambda m, i: F.when(_valid(kind, m), F.struct(F.lit(kind).alias("kind"), i.alias("start"), (i + F.length(m)).alias("end")))
+        return F.filter(F.zip_with(x["found"], starts, span), lambda v: v.isNotNull())
 
-    pairs = F.zip_with(F.col(matches), F.slice(F.col(between), 1, F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    return F.aggregate(pairs, zero, add, lambda a: a["out"])
+    cut_up = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("found"), F.split(text, PATTERNS[kind], -1).alias("between"))
+    return F.when(text.rlike(HINTS[kind]), let(cut_up, places)).otherwise(F.array().cast(SPANS)).cast(SPANS)
 
 
 def with_base_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds _email, _ip, _card and _phone: spans in code points, end exclusive, leftmost and without overlap in each kind."""
-    for k in KINDS:
-        hit = F.col(text).rlike(HINTS[k])
-        df = df.withColumn("_m", F.when(hit, F.regexp_extract_all(F.col(text), F.lit(PATTERNS[k]), F.lit(0))))
-        df = df.withColumn("_b", F.when(F.col("_m").isNotNull(), F.split(F.col(text), PATTERNS[k], -1)))
-        none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-        df = df.withColumn(f"_{k}", F.when(F.size("_m") > 0, _spans(F.col(text), k, "_m", "_b")).otherwise(none)).drop("_m", "_b")
-    return df
+    """Adds s_email, s_ip, s_card and s_phone: spans in code points, end exclusive, leftmost and without overlap in each kind."""
+    return df.select("*", *[_spans(F.col(text), k).alias(f"s_{k}") for k in KINDS])
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _letters(line: Column) -> Column:
-    return F.split(F.lower(line), r"[^\p{L}]+")
+def _may(text: Column) -> Column:
+    """A cheap test that a text or line may hold an entity."""
+    some = F.lit(False)
+    for k in KINDS:
+        some = some | text.rlike(HINTS[k])
+    return text.rlike("[@0-9]") & some
+
+
+def _token_kind(t: Column) -> Column:
+    number = F.when(t.rlike(r"^\+[0-9]"), F.when(_valid("phone", t), "phone")).when(t.rlike(r"^[0-9]+\."), F.when(_valid("ip", t), "ip")).otherwise(F.when(t.rlike("^[0-9]") & _valid("card", t), "card"))
+    return F.when(t.rlike(r"^\p{L}"), "term").otherwise(number)
+
+
+def _normal(kind: Column, t: Column) -> Column:
+    """The same for all ways of writing an entity; terms in lower case."""
+    return F.when(kind.isin("card", "phone"), _digits(t)).otherwise(F.lower(t))
+
+
+def _items(line: Column) -> Column:
+    """Terms and entities of a line in order: kind, value, start, end. A line is read once, e-mail addresses first."""
+
+    def cut_up(x: Column) -> Column:
+        inside = lambda b: F.transform(F.regexp_extract_all(b, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("t"), _token_kind(t).alias("k")))
+        address = lambda m: F.when(m.isNotNull(), F.array(F.struct(m.alias("t"), F.lit("email").alias("k")))).otherwise(F.array().cast("array<struct<t:string,k:string>>"))
+        return F.flatten(F.zip_with(x["between"], x["found"], lambda b, m: F.concat(inside(b), address(m))))
+
+    def placed(tokens: Column) -> Column:
+        item = lambda x, i: F.when(x["k"].isNotNull(), F.struct(x["k"].alias("kind"), _normal(x["k"], x["t"]).alias("value"), i.alias("start"), (i + F.length(x["t"])).alias("end")))
+        return F.filter(F.zip_with(tokens, running(F.transform(tokens, lambda x: F.length(x["t"]))), item), lambda v: v.isNotNull())
+
+    parts = F.struct(F.split(line, PATTERNS["email"], -1).alias("between"), F.regexp_extract_all(line, F.lit(PATTERNS["email"]), F.lit(0)).alias("found"))
+    return let(let(parts, cut_up), placed)
+
+
+def entity_contexts(docs: DataFrame, s: Settings, text: str) -> DataFrame:
+    """key (digest of the text), entities (kind:value, distinct) and terms (value, start, end in the text) of each context of the lines
+    that may hold an entity."""
+    lines = docs.filter(_may(F.col(text))).select(F.md5(F.col(text).cast("binary")).alias("key"), F.split(text, "\n").alias("lines"))
+    placed = F.zip_with("lines", running(F.transform("lines", lambda x: F.length(x) + 1)), lambda x, i: F.when(_may(x), F.struct(x.alias("line"), i.alias("begin"))))
+    each = lines.select("key", F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("x")).select("key", "x.line", "x.begin")
+    contexts = each.select("key", "begin", F.explode(let(_items(F.col("line")), lambda i: runs(i, s.context))).alias("items"))
+    own = F.array_distinct(F.transform(F.filter("items", lambda x: x["kind"] != "term"), lambda x: F.concat_ws(":", x["kind"], x["value"])))
+    terms = F.transform(F.filter("items", lambda x: x["kind"] == "term"), lambda x: F.struct(x["value"].alias("value"), (x["start"] + F.col("begin")).alias("start"), (x["end"] + F.col("begin")).alias("end")))
+    return contexts.select("key", own.alias("entities"), terms.alias("terms"))
 
 
-def disclosing_terms(docs: DataFrame, s: Settings, text: str) -> DataFrame:
-    """term, kind and share (of the entity's information content) of terms that disclose a kind, from all lines of all documents.
+def term_counts(docs: DataFrame, contexts: DataFrame, s: Settings, text: str) -> DataFrame:
+    """term and n, the contexts that hold it; the empty term has the number of all contexts."""
+    letters = lambda line: F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda x: x != "")
+    counted = lambda x: F.concat(F.array(F.lit("")), F.array_distinct(x))
+    in_line = lambda t: F.when(F.size(t) == 0, t).when(F.size(t) <= s.context, counted(t)).otherwise(F.flatten(F.transform(runs(t, s.context), counted)))
+    plain = F.filter(F.split(text, "\n"), lambda x: ~_may(x))
+    rest = docs.select(F.explode(F.flatten(F.transform(plain, lambda x: let(letters(x), in_line)))).alias("term"))
+    held = contexts.select(F.explode(counted(F.transform("terms", lambda x: x["value"]))).alias("term"))
+    return rest.unionByName(held).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
-    Contexts are lines. With N lines, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))) and IC(e) = log2(N / n(e)).
+
+def disclosing_terms(docs: DataFrame, contexts: DataFrame, s: Settings, text: str) -> DataFrame:
+    """entity, term and share (of the entity's information content) of the terms that disclose an entity of their context.
+
+    With N contexts, PMI(e; t) = log2(N n(e,t) / (n(e) n(t))) and IC(e) = log2(N / n(e)). Every pair that meets is judged.
     """
-    # a line counts as holding an entity where it passes the kind's cheap test: a match of a kind but card stays on its line
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
-    for k in KINDS:
-        lines = lines.withColumn(k, F.col("line").rlike(HINTS[k]).cast("int"))
-    terms = lines.select(F.explode(F.array_distinct(_letters(F.col("line")))).alias("term"), *KINDS)
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in KINDS])
-    often = counts.filter((F.length("term") >= s.least_letters) & (F.greatest(*KINDS) >= s.least_lines))
-    totals = lines.agg(F.count(F.lit(1)).alias("lines"), *[F.sum(k).alias(f"lines_{k}") for k in KINDS])  # one row
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("both"), F.col(f"lines_{k}").alias("with")) for k in KINDS]))
-    c = often.join(F.broadcast(totals), F.lit(True)).select("term", "n", "lines", each.alias("x")).select("term", "n", "lines", "x.*").filter((F.col("both") >= s.least_lines) & (F.col("with") < F.col("lines")))
-    pmi = F.log2(F.col("lines") * F.col("both") / (F.col("with") * F.col("n")))
-    ic = F.log2(F.col("lines") / F.col("with"))
-    return c.select("term", "kind", (pmi / ic).alias("share")).filter(F.col("share") >= 1 / s.alpha)
-
-
-def _term_places(found: DataFrame) -> DataFrame:
-    """rid, kind, term, start and end of each term in a line that holds an entity of the kind."""
-    # the added number is 0, and keeps the filter above the spans, whose expressions it would else repeat
-    some = F.size("_email") + F.size("_ip") + F.size("_card") + F.size("_phone") + F.least(F.monotonically_increasing_id(), F.lit(0))
-    rows = found.withColumn("_n", some).filter("_n > 0").select("rid", "_t", F.concat("_email", "_ip", "_card", "_phone").alias("base"))
-    lines = rows.select("rid", "base", F.posexplode(F.split("_t", "\n")).alias("ln", "line"), "_t")
-    # where each line begins
-    lines = lines.withColumn("begin", F.aggregate(F.slice(F.split("_t", "\n"), 1, F.col("ln")), F.lit(0), lambda a, x: a + F.length(x) + 1)).drop("_t")
-    inside = F.filter("base", lambda b: (b["start"] >= F.col("begin")) & (b["end"] <= F.col("begin") + F.length("line")))
-    lines = lines.withColumn("own", inside).filter(F.size("own") > 0)
-    low = F.col("line")
-    lines = lines.select("rid", "begin", "own", F.regexp_extract_all(low, F.lit(r"[^\p{L}]+|\p{L}+"), F.lit(0)).alias("w"))
-    # tokens (letters or not, in turn) with their places
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
-
-    def add(a: Column, x: Column) -> Column:
-        end = a["at"] + F.length(x)
-        one = F.struct(F.lower(x).alias("term"), a["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x.rlike(r"^\p{L}"), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
-
-    lines = lines.select("rid", "begin", "own", F.explode(F.aggregate("w", zero, add, lambda a: a["out"])).alias("x"))
-    lines = lines.select("rid", "own", F.col("x.term").alias("term"), (F.col("begin") + F.col("x.start")).alias("start"), (F.col("begin") + F.col("x.end")).alias("end"))
-    # base spans stay as they are: terms inside one are left to it
-    clear = ~F.exists("own", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    return lines.filter(clear).select("rid", F.explode(F.array_distinct(F.transform("own", lambda b: b["kind"]))).alias("kind"), "term", "start", "end")
+    met = contexts.filter(F.size("entities") > 0)
+    each = met.select(F.explode("entities").alias("entity"), F.array_distinct(F.transform("terms", lambda x: x["value"])).alias("terms"))
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with"))
+    pairs = each.select("entity", F.explode("terms").alias("term")).filter(F.length("term") >= s.least_letters).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    counts = term_counts(docs, contexts, s, text)
+    # terms that meet no entity are never looked up; the number of contexts comes along as the empty term
+    wanted = cut(counts.join(pairs.select("term").distinct().unionByName(counts.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi"))
+    total = wanted.filter(F.col("term") == "").select(F.col("n").alias("all"))  # one row
+    joined = pairs.join(wanted, "term").join(entities, "entity").join(F.broadcast(total), F.lit(True)).filter(F.col("with") < F.col("all"))
+    pmi = F.log2(F.col("all") * F.col("both") / (F.col("with") * F.col("n")))
+    return joined.select("entity", "term", (pmi / F.log2(F.col("all") / F.col("with"))).alias("share")).filter(F.col("share") >= 1 / s.alpha)
+
+
+def extra_spans(docs: DataFrame, s: Settings, text: str) -> DataFrame:
+    """key and extra: the spans that the method adds to a text, in order; a term that discloses several entities is one span."""
+    contexts = cut(entity_contexts(docs, s, text))
+    terms = disclosing_terms(docs, contexts, s, text)
+    places = contexts.filter(F.size("entities") > 0).select("key", F.explode("entities").alias("entity"), "terms").select("key", "entity", F.explode("terms").alias("x"))
+    places = places.select("key", "entity", F.col("x.value").alias("term"), "x.start", "x.end").distinct()
+    one = places.join(terms, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
+    span = F.struct(F.when(F.col("share") >= s.remove_share, "removed").otherwise("generalised").alias("kind"), "start", "end")
+    return one.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("extra"))
 
 
 def personal_data(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (long), base_sha256, spans (kind:start:end, base kinds as listed, then `generalised` and
-    `removed` terms) and clean_text, in which every span is replaced by its kind in brackets, or left out if removed.
+    `removed` terms) and clean_text: base spans are replaced by their kind in brackets, generalised terms by [NAME] (capitalised) or
+    [WORD], and removed ones left out.
 
-    Null is an empty text. Columns of docs with these names are replaced. Repeated rows are judged as often as they occur; an empty
-    table gives no rows and no terms.
+    Null is an empty text. Columns of docs with these names are replaced, others stay, whatever their names. Equal texts get equal
+    spans, in every row; an empty table gives no rows and no terms. A corpus whose contexts all hold an entity tells nothing of it.
     """
     new = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean_text")
-    own = [c for c in docs.columns if c not in new or c == text]
-    df = docs.select(*own).withColumn("rid", F.monotonically_increasing_id()).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    found = with_base_spans(df, "_t")
-    terms = disclosing_terms(df, s, "_t")
-    places = _term_places(found).join(terms, ["kind", "term"])
-    # a term that discloses several kinds is one span, by the kind it discloses most
-    one = places.groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
-    span = F.struct(F.when(F.col("share") >= s.remove_share, "removed").otherwise("generalised").alias("kind"), "start", "end")
-    extra = one.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("_extra"))
-    out = found.join(extra, "rid", "left").withColumn("_extra", F.coalesce("_extra", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    out = out.withColumn("_base", F.concat("_email", "_ip", "_card", "_phone")).withColumn("_all", F.concat("_base", "_extra"))
-    for k in KINDS:
-        out = out.withColumn(f"n_{k}", F.size(f"_{k}").cast("long"))
-    out = out.withColumn("base_sha256", F.sha2(_joined(F.col("_base")), 256)).withColumn("spans", _joined(F.col("_all")))
-    out = out.withColumn("clean_text", _replaced(F.col("_t"), F.col("_all")))
-    return out.select(*[docs[c] if c == text and c in new else F.col(c) for c in own], *new)
+    names, at = docs.columns, docs.columns.index(text)
+    # own columns have numbers in here, so that no name clashes
+    df = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("t", F.coalesce(F.col(f"c{at}"), F.lit("")))
+    extra = extra_spans(df.select("t"), s, "t").select("key", F.explode(F.sequence(F.lit(0), F.lit(s.copies - 1))).alias("salt"), "extra")
+    found = with_base_spans(df, "t").withColumn("key", F.md5(F.col("t").cast("binary"))).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(s.copies)).cast("int"))
+    out = found.join(extra, ["key", "salt"], "left").withColumn("base", F.concat(*[f"s_{k}" for k in KINDS]))
+    out = out.withColumn("every", F.concat("base", F.coalesce("extra", F.array().cast(SPANS))))
+    made = [F.size(f"s_{k}").cast("long") for k in KINDS]
+    made += [F.sha2(_joined(F.col("base")), 256), _joined(F.col("every")), _replaced(F.col("t"), F.col("every"))]
+    kept = [i for i, n in enumerate(names) if n not in new or i == at]
+    return out.select(*[f"c{i}" for i in kept], *[x.alias(f"m{i}") for i, x in enumerate(made)]).toDF(*[names[i] for i in kept], *new)
+
+
+def _replaced(text: Column, spans: Column, size: int = 64) -> Column:
+    """The text with spans replaced; of spans that overlap, the one that begins first (the longer, if both do) stands for all.
+
+    Each run of spans is cut from its own stretch of the text, whose beginning is sought once.
+    """
 
+    def mark(kind: Column, first: Column) -> Column:
+        word = F.when(F.lower(first) == first, "[WORD]").otherwise("[NAME]")
+        return F.when(kind == "removed", "").when(kind == "generalised", word).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
 
-def _replaced(text: Column, spans: Column) -> Column:
-    """The text with spans replaced; of spans that overlap, the one that begins first (the longer, if both do) stands for all."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def stretch(own: Column) -> Column:
+        first = F.get(own, F.lit(0))["from"]
+        segment = F.substring(text, first + 1, F.element_at(own, -1)["start"] - first + 1)
+        one = lambda seg, x: F.concat(F.substring(seg, x["from"] - first + 1, x["start"] - x["from"]), mark(x["kind"], F.substring(seg, x["start"] - first + 1, F.lit(1))))
+        return let(segment, lambda seg: F.array_join(F.transform(own, lambda x: one(seg, x)), ""))
 
-    def add(a: Column, x: Column) -> Column:
-        mark = F.when(x["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        end = -x["neg"]
-        taken = F.struct(end.alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), mark).alias("out"))
-        inside = F.struct(F.greatest(a["at"], end).alias("at"), a["out"].alias("out"))
-        return F.when(x["start"] >= a["at"], taken).otherwise(inside)
+    def done(order: Column) -> Column:
+        reach = let(F.transform(order, lambda x: -x["neg"]), lambda e: scan(e, lambda a, b: F.greatest(a, b)))
+        led = F.filter(F.zip_with(order, reach, lambda x, r: F.struct(r.alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["from"])
+        body = let(led, lambda x: F.array_join(F.transform(runs(x, size), stretch), ""))
+        return F.concat(body, F.substring(text, F.array_max(F.transform(order, lambda x: -x["neg"])) + 1, F.length(text)))
 
-    done = F.aggregate(order, zero, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
+    return F.when(F.size(spans) > 0, let(order, done)).otherwise(text)

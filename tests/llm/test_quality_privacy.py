@@ -1,7 +1,10 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
-from ragframe.llm.privacy import Settings, disclosing_terms, personal_data
+from ragframe.llm.privacy import Settings, disclosing_terms, entity_contexts, personal_data
 from ragframe.llm.quality import quality, quality_sql
 from tests.compare import duck_rows, spark_rows
 
@@ -43,8 +46,6 @@ def test_lines_fall_and_documents_stay(spark):
 
 
 def test_base_spans_against_python(spark):
-    import random
-
     rng = random.Random(3)
     texts = [None, "", "a@b.c@d.e", "x_a@b.c_d@e.f", "1.2.3.4.5.6.7.8 300.1.1.1 0001.02.3.4", "+1 (999) 555-1234+33 1 22 33", "4111 1111 1111 1111 é 4111-1111-1111-1111", "1 2 3 " * 9000, "a" * 50000 + "@", "1" * 50000 + "."]
     texts += ["".join(rng.choice("0123456789+-. ()@ab_%é\n") for _ in range(60)) for _ in range(200)]
@@ -57,13 +58,101 @@ def test_base_spans_against_python(spark):
         assert r.n_email == sum(x.startswith("email") for x in want)
 
 
+TOKEN = r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|[0-9]+(?:[\x20-][0-9]+)*|[^\W\d_]+|[^\w0-9+]+|."
+
+
+def kind_of(t):
+    if t[0].isalpha():
+        return "term"
+    kind = "phone" if re.match(r"\+[0-9]", t) else "ip" if re.match(r"[0-9]+\.", t) else "card" if t[0].isdigit() else None
+    return kind if kind and valid(kind, t) else None
+
+
+def items(line, begin):
+    """(kind, value, start, end) of terms and entities."""
+    out, at = [], 0
+    for m in [*re.finditer(BASE["email"], line), None]:
+        piece = line[at : m.start() if m else len(line)]
+        for x in re.finditer(TOKEN, piece):
+            if k := kind_of(x[0]):
+                out.append((k, re.sub("[^0-9]", "", x[0]) if k in ("card", "phone") else x[0].lower(), begin + at + x.start(), begin + at + x.end()))
+        if m:
+            out.append(("email", m[0].lower(), begin + m.start(), begin + m.end()))
+            at = m.end()
+    return out
+
+
+def sanitised(texts, s):
+    """Spans and clean text of each text, by the definition."""
+    contexts = []
+    for d, t in enumerate(texts):
+        begin = 0
+        for line in t.split("\n"):
+            own = items(line, begin)
+            contexts += [(d, own[i : i + s.context]) for i in range(0, len(own), s.context)]
+            begin += len(line) + 1
+    n = Counter(v for _, c in contexts for v in {x[1] for x in c if x[0] == "term"})
+    e = Counter(v for _, c in contexts for v in {x[:2] for x in c if x[0] != "term"})
+    both = Counter((a, b) for _, c in contexts for a in {x[:2] for x in c if x[0] != "term"} for b in {x[1] for x in c if x[0] == "term"})
+    extra = defaultdict(dict)
+    for d, c in contexts:
+        for a in {x[:2] for x in c if x[0] != "term"}:
+            for _, v, i, j in (x for x in c if x[0] == "term" and len(x[1]) >= s.least_letters):
+                if e[a] < len(contexts):
+                    share = math.log2(len(contexts) * both[a, v] / (e[a] * n[v])) / math.log2(len(contexts) / e[a])
+                    if share >= 1 / s.alpha:
+                        extra[d][i, j] = max(share, extra[d].get((i, j), 0))
+    out = []
+    for d, t in enumerate(texts):
+        more = sorted(("removed" if v >= s.remove_share else "generalised", i, j) for (i, j), v in extra[d].items())
+        spans = [*base(t), *(f"{k}:{i}:{j}" for k, i, j in more)]
+        clean, at = "", 0
+        for i, j, k in sorted((int(i), -int(j), k) for k, i, j in (x.split(":") for x in spans)):
+            if i >= at:
+                clean += t[at:i] + ("" if k == "removed" else ("[WORD]" if t[i] == t[i].lower() else "[NAME]") if k == "generalised" else f"[{k.upper()}]")
+            at = max(at, -j)
+        out.append((",".join(spans), clean + t[at:]))
+    return out
+
+
+def test_all_spans_and_clean_texts_against_the_definition(spark):
+    rng = random.Random(8)
+    common = ["the", "of", "letter", "went", "to", "é", "x"]
+    entity = lambda i: rng.choice([f"p{i % 9}@mail.org", f"10.0.{i % 7}.1", "4111 1111 1111 1111", f"+49 30 123456{i % 10}", "300.1.1.1", f"Q{i % 5}.r@b.co"])
+    word = lambda: rng.choice(["Meier", "Dorfplatz", "ältere", "zim" + rng.choice("abcdefghij") + rng.choice("abcdefghijklmnop"), *common * 4])
+    texts = []
+    for i in range(150):
+        line = lambda: " ".join(entity(i) if rng.random() < 0.06 else word() for _ in range(rng.randint(0, 30)))
+        texts.append("\n".join(line() for _ in range(rng.randint(1, 6))))
+    texts += ["Meier\tp1@mail.org,Dorfplatz", "plain words\n\n"]
+    for s in (Settings(), Settings(context=7, alpha=10.0, remove_share=0.35)):
+        want = sanitised(texts, s)
+        # columns with the names that the operator itself might use
+        df = spark.createDataFrame([(i, t, "z", 5, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, t string, salt int, key string, c0 int")
+        got = {r.doc_id: r for r in personal_data(df, s).collect()}
+        assert len(got) == len(texts) and (s == Settings() or sum("generalised" in w[0] for w in want) > 5 and sum("removed" in w[0] for w in want) >= 1)
+        for i, w in enumerate(want):
+            assert (got[i].spans, got[i].clean_text) == w, texts[i]
+            assert (got[i].t, got[i].salt, got[i].key, got[i].c0) == ("z", 5, "k", 1)
+
+
 def test_disclosing_terms(spark):
-    rows = [(i, f"kontakt a{i}@b.cd\nother line words" if i % 2 else "plain words here\nother line words") for i in range(40)]
+    name = lambda i: "name" + "abcdefghij"[i % 10] + "klmnop"[i // 10]
+    rows = [(i, f"kontakt {name(i)} a{i}@b.cd\nother line words" if i % 2 else "plain words here\nother line words") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    terms = {r.term for r in disclosing_terms(df, Settings(), "text").collect()}
-    assert "kontakt" in terms and "words" not in terms and "other" not in terms
+    contexts = entity_contexts(df, Settings(), "text")
+    terms = {(r.entity, r.term) for r in disclosing_terms(df, contexts, Settings(), "text").collect()}
+    assert terms == {(f"email:a{i}@b.cd", name(i)) for i in range(1, 40, 2)}
     got = {r.doc_id: r.clean_text for r in personal_data(df).collect()}
-    assert got[1] == " [EMAIL]\nother line words" and got[2] == rows[2][1]
+    assert got[1] == "kontakt  [EMAIL]\nother line words" and got[2] == rows[2][1]
+
+
+def test_long_texts_with_many_spans(spark):
+    mails = "\n".join(f"mail a{i}@x{i}.org now" for i in range(2000))
+    words = "joe@x.org " + " ".join("abcdefghij"[i % 10] * 2 + "klmnopqrst"[i // 10 % 10] + "uvwxyz"[i // 100 % 6] * (i // 600 + 1) for i in range(40_000))
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame([(0, mails), (1, words)] + [(i, "plain words") for i in range(2, 30)], "doc_id long, text string")).collect()}
+    assert got[0].n_email == 2000 and got[0].clean_text.count("[EMAIL]") == 2000 and got[0].clean_text == re.sub("a[0-9]+@x[0-9]+.org", "[EMAIL]", mails)
+    assert got[1].n_email == 1 and got[1].clean_text.startswith("[EMAIL] ") and len(got[1].clean_text) > len(words) - 3000
 
 
 def test_privacy_edges(spark, odd_docs):
