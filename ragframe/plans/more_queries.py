@@ -13,38 +13,59 @@ from ragframe.plans.registry import query, sql_norm, sql_tokens, table
 from ragframe.plans.retrieval_queries import _DVEC, dense_hits, dvec
 
 
-@query("context_relevance", f"""with {_DVEC}, s as (select query_id, rank, score, case when len(k) = 0 then 1.0 else len(list_filter(k, lambda x: contains(n, x))) / len(k)::double end as kw
-from (select d.query_id, d.rank, d.score, list_filter({sql_tokens("q.text[1:200]")}, lambda x: length(x) > 5) as k, {sql_norm("v.text")} as n from dense d join v on v.doc_id = d.doc_id join v q on q.doc_id = d.query_id))
-select query_id, round(avg(b), 4) as context_relevance from (select query_id, 0.25 * score + 0.40 * score + 0.35 * kw as b, row_number() over (partition by query_id order by 0.25 * score + 0.40 * score + 0.35 * kw desc) as r from s) where r <= 3 group by 1""")
+#: Each hit with its cosine to the query and to the reference, which is the query's first hit.
+_PAIRS = """cs as (select d.query_id, d.doc_id, d.rank, d.score, round(greatest(0, list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 6) as ref_score
+from dense d join dense f on f.query_id = d.query_id and f.rank = 1 join v a on a.doc_id = d.doc_id join v b on b.doc_id = f.doc_id)"""
+_KEYS = f"list_filter({sql_tokens('q.text')}, lambda x: length(x) > 5)"
+_KW = "case when len(k) = 0 then 1.0 else len(list_filter(k, lambda x: contains(n, x))) / len(k)::double end"
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, doc_id, rank, score (cosine with the query) and ref_score (with the query's first hit)."""
+    hits, v = dense_hits(spark, sf), dvec(spark, sf).select("doc_id", "embedding")
+    first = hits.filter("rank = 1").select("query_id", F.col("doc_id").alias("ref_id")).join(v.select(F.col("doc_id").alias("ref_id"), F.col("embedding").alias("ref")), "ref_id")
+    return hits.join(v, "doc_id").join(first, "query_id").select("query_id", "doc_id", "rank", "score", F.round(m.cosine(F.col("embedding"), F.col("ref")), 6).alias("ref_score"))
+
+
+def pair_texts(spark: SparkSession, sf: str) -> DataFrame:
+    v = dvec(spark, sf).select("doc_id", "text", "label")
+    return pairs(spark, sf).join(v, "doc_id").join(v.select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"), F.col("label").alias("q_label")), "query_id")
+
+
+def keyword_share_of(x: DataFrame) -> DataFrame:
+    """x with k and kw: the query's long words and the share of them in the text."""
+    x = x.withColumn("k", F.filter(t.tokens(F.col("q")), lambda w: F.length(w) > 5)).withColumn("n", t.norm_match(F.col("text")))
+    return x.withColumn("kw", m.coverage(F.col("k"), F.col("n")))
+
+
+@query("context_relevance", f"""with {_DVEC}, {_PAIRS}, s as (select *, {_KW} as kw from (select c.*, {_KEYS} as k, {sql_norm("v.text")} as n from cs c join v on v.doc_id = c.doc_id join v q on q.doc_id = c.query_id)),
+z as (select query_id, 0.25 * score + 0.40 * ref_score + 0.35 * kw as b from s)
+select query_id, round(avg(b), 4) as context_relevance from (select *, row_number() over (partition by query_id order by b desc) as r from z) where r <= 3 group by 1""")
 def context_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    v = dvec(spark, sf).select("doc_id", "text")
-    x = dense_hits(spark, sf).join(v, "doc_id").join(v.select(F.col("doc_id").alias("query_id"), F.col("text").alias("q")), "query_id")
-    keys = F.filter(t.tokens(F.substring("q", 1, 200)), lambda w: F.length(w) > 5)
-    x = x.withColumn("k", keys).withColumn("n", t.norm_match(F.col("text"))).withColumn("kw", m.coverage(F.col("k"), F.col("n")))
-    return relevance.context_relevance(x, "query_id", "score", "score", "kw")
+    return relevance.context_relevance(keyword_share_of(pair_texts(spark, sf)), "query_id", "score", "ref_score", "kw")
 
 
-@query("source_relevance", f"""with {_DVEC}, x as (select d.query_id, d.doc_id, d.score, list_distinct(regexp_extract_all(q.text, '\\d+(?:[.,]\\d+)?')) as nums, regexp_extract_all(v.text, '\\d+(?:[.,]\\d+)?') as have from dense d join v on v.doc_id = d.doc_id join v q on q.doc_id = d.query_id)
-select query_id, doc_id, round(greatest(0, least(1, case when len(nums) > 0 then 0.30 * score + 0.20 * score + 0.25 * score + 0.10 * score + 0.15 * (len(list_intersect(nums, have)) / len(nums)::double) else score end)), 4) as relevance from x""")
+@query("source_relevance", f"""with {_DVEC}, {_PAIRS}, y as (select c.*, {_KEYS} as k, {sql_norm("v.text")} as n, (v.label = q.label)::int::double as same, list_distinct(regexp_extract_all(q.text, '\\d+(?:[.,]\\d+)?')) as nums, regexp_extract_all(v.text, '\\d+(?:[.,]\\d+)?') as have from cs c join v on v.doc_id = c.doc_id join v q on q.doc_id = c.query_id),
+x as (select *, {_KW} as kw from y)
+select query_id, doc_id, round(greatest(0, least(1, case when len(nums) > 0 then 0.30 * ref_score + 0.20 * score + 0.25 * kw + 0.10 * same + 0.15 * (len(list_intersect(nums, have)) / len(nums)::double) else 0.40 * ref_score + 0.25 * score + 0.20 * kw + 0.15 * same end)), 4) as relevance from x""")
 def source_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    v = dvec(spark, sf).select("doc_id", "text")
-    x = dense_hits(spark, sf).join(v, "doc_id").join(v.select(F.col("doc_id").alias("query_id"), F.col("text").alias("q")), "query_id")
-    x = x.withColumn("nums", t.numbers(F.col("q"))).withColumn("num", relevance.numeric_overlap(F.col("nums"), F.col("text")))
-    s = F.col("score")
-    return x.select("query_id", "doc_id", F.round(relevance.source_relevance(s, s, s, s, F.col("num"), F.size("nums") > 0), 4).alias("relevance"))
+    x = keyword_share_of(pair_texts(spark, sf)).withColumn("nums", t.numbers(F.col("q"))).withColumn("num", relevance.numeric_overlap(F.col("nums"), F.col("text")))
+    same = (F.col("label") == F.col("q_label")).cast("double")
+    return x.select("query_id", "doc_id", F.round(relevance.source_relevance(F.col("ref_score"), F.col("score"), F.col("kw"), same, F.col("num"), F.size("nums") > 0), 4).alias("relevance"))
 
 
-@query("semantic_blend", f"with {_DVEC} select query_id, doc_id, round(0.35 * score + 0.40 * score + 0.25, 4) as answer_relevance from dense")
+@query("semantic_blend", f"""with {_DVEC}, {_PAIRS}, s as (select *, {_KW} as kw from (select c.*, {_KEYS} as k, {sql_norm("v.text")} as n from cs c join v on v.doc_id = c.doc_id join v q on q.doc_id = c.query_id))
+select query_id, doc_id, ref_score as semantic_similarity, round(0.35 * score + 0.40 * ref_score + 0.25 * kw, 4) as answer_relevance from s""")
 def semantic_blend(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("score")
-    return dense_hits(spark, sf).select("query_id", "doc_id", F.round(relevance.answer_relevance(s, s, F.lit(1.0)), 4).alias("answer_relevance"))
+    x = keyword_share_of(pair_texts(spark, sf))
+    return x.select("query_id", "doc_id", F.col("ref_score").alias("semantic_similarity"), F.round(relevance.answer_relevance(F.col("score"), F.col("ref_score"), F.col("kw")), 4).alias("answer_relevance"))
 
 
-@query("source_hints", f"""with b as (select doc_id, doc_id % 10 = 0 as none, {sql_norm("source || ' ' || text[1:300] || ' lang ' || lang")} as b, case when doc_id % 7 = 0 then []::varchar[] when doc_id % 3 = 0 then ['src' || (doc_id % 20)] else ['no-such-hint'] end as h from documents)
+@query("source_hints", f"""with b as (select doc_id, doc_id % 10 = 0 as none, {sql_norm("source || ' ' || text || ' lang ' || lang")} as b, case when doc_id % 7 = 0 then []::varchar[] when doc_id % 3 = 0 then ['src' || (doc_id % 20)] else ['no-such-hint'] end as h from documents)
 select doc_id, case when len(h) = 0 then none::int::double else (not none and len(list_filter(h, lambda x: contains(b, {sql_norm("x")}))) > 0)::int::double end as hit from b""")
 def source_hints(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
-    d = table(spark, sf, "documents").withColumn("b", relevance.bundle(F.col("source"), F.substring("text", 1, 300), F.create_map(F.lit("lang"), F.col("lang"))))
+    d = table(spark, sf, "documents").withColumn("b", relevance.bundle(F.col("source"), F.col("text"), F.create_map(F.lit("lang"), F.col("lang"))))
     none = F.array().cast("array<string>")
     hints = F.when(k % 7 == 0, none).when(k % 3 == 0, F.array(F.concat(F.lit("src"), (k % 20).cast("string")))).otherwise(F.array(F.lit("no-such-hint")))
     d = d.withColumn("h", hints).withColumn("bs", F.when(k % 10 == 0, none).otherwise(F.array("b")))

@@ -17,11 +17,13 @@ q as (select item_id as query_id, unnest(list_distinct({sql_tokens("text")})) as
 bm as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) as score from q join df using (term) join post using (term) join len using (doc_id), st group by all),
 sparse as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm qualify rank <= 6)"""
 _DVEC = """v as (select doc_id, text, embedding, label from documents join embeddings on doc_id = vec_id),
-dd as (select q.doc_id as query_id, v.doc_id, round(greatest(0, list_cosine_similarity(v.embedding::double[], q.embedding::double[])), 6) as score from v, v q where q.doc_id < 30 and q.doc_id <> v.doc_id),
+dd as (select q.doc_id as query_id, v.doc_id, round(greatest(0, list_cosine_similarity(v.embedding::double[], q.embedding::double[])), 6) as score from v, v q where q.doc_id % 50 = 0 and q.doc_id <> v.doc_id),
 dense as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from dd qualify rank <= 6)"""
-#: A second list of the same queries: shared words, so that fusion has two.
-_WORDS = f"""w as (select doc_id, unnest(list_distinct(list_filter({sql_tokens("text")}, lambda x: length(x) > 6))) as term from v),
-ww as (select q.doc_id as query_id, w.doc_id, count(*)::double as score from w join w q using (term) where q.doc_id < 30 and q.doc_id <> w.doc_id group by all),
+#: The sparse list of the same queries: BM25 over the same nodes.
+_WORDS = f"""post as (select doc_id, term, count(*) as tf from (select doc_id, unnest({sql_tokens("text")}) as term from v) group by all),
+len as (select doc_id, sum(tf) as dl from post group by 1), st as (select (select count(*) from v) as n, avg(dl) as avgdl from len), df as (select term, count(*) as df from post group by 1),
+q as (select doc_id as query_id, unnest(list_distinct({sql_tokens("text")})) as term from v where doc_id % 50 = 0),
+ww as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) as score from q join df using (term) join post using (term) join len using (doc_id), st where query_id <> doc_id group by all),
 sparse as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ww qualify rank <= 6)"""
 _LISTS = "l as (select 'd' as list, * from dense union all select 's', * from sparse)"
 
@@ -37,13 +39,12 @@ def benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 def dense_hits(spark: SparkSession, sf: str) -> DataFrame:
     v = dvec(spark, sf).select("doc_id", "embedding")
-    return r.dense(v, v.filter("doc_id < 30").withColumnRenamed("doc_id", "query_id"))
+    return r.dense(v, v.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
 
 
 def word_hits(spark: SparkSession, sf: str) -> DataFrame:
-    w = dvec(spark, sf).select("doc_id", F.explode(F.array_distinct(F.filter(t.tokens(F.col("text")), lambda x: F.length(x) > 6))).alias("term"))
-    q = w.filter("doc_id < 30").withColumnRenamed("doc_id", "query_id")
-    return r._top(q.join(w, "term").filter("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), "query_id", "doc_id", 6)
+    v = dvec(spark, sf).select("doc_id", "text")
+    return r.bm25(v, v.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), same=False)
 
 
 def both_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,15 +94,15 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_hits(spark, sf)
 
 
-@query("confidence_gate", f"""with {_DVEC}, q as (select doc_id as query_id from documents where doc_id < 60)
+@query("confidence_gate", f"""with {_DVEC}, q as (select doc_id as query_id from documents where doc_id % 50 = 0)
 select q.query_id, count(dense.doc_id)::bigint as n_hits, max(score) as top_score, count(dense.doc_id) = 0 or coalesce(max(score) < 0.5, false) as refused from q left join dense using (query_id) group by 1""")
 def confidence_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return r.gate(table(spark, sf, "documents").filter("doc_id < 60").select(F.col("doc_id").alias("query_id")), dense_hits(spark, sf), 0.5)
+    return r.gate(table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id")), dense_hits(spark, sf), 0.5)
 
 
-@query("top_sources", f"""with {_DVEC} select query_id, string_agg(rank || ':' || source || '#' || substr(text, 1, 20), '|' order by rank) as shown from dense join documents using (doc_id) where rank <= 3 group by 1""")
+@query("top_sources", f"""with {_DVEC} select query_id, string_agg(rank || ':' || source || '#' || md5(text), '|' order by rank) as shown from dense join documents using (doc_id) where rank <= 3 group by 1""")
 def top_sources(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("web/"), "source").alias("path"), F.lit(None).cast("int").alias("chunk_id"), F.substring("text", 1, 20).alias("content"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("web/"), "source").alias("path"), F.lit(None).cast("int").alias("chunk_id"), F.md5(F.col("text").cast("binary")).alias("content"))
     s = r.sources(dense_hits(spark, sf), d, 3)
     return s.select("query_id", F.array_join(F.transform("sources", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["source"], F.lit("#"), x["content"])), "|").alias("shown"))
 
@@ -116,10 +117,10 @@ def variant_expand(spark: SparkSession, sf: str) -> DataFrame:
     return r.variants(benchmark(spark, sf))
 
 
-@query("prompt_context", f"""with {_BM25}, c as (select query_id, string_agg(substr(text, 1, 100), chr(10) || chr(10) order by rank) as c from sparse join documents using (doc_id) group by 1)
+@query("prompt_context", f"""with {_BM25}, c as (select query_id, string_agg(text, chr(10) || chr(10) order by rank) as c from sparse join documents using (doc_id) group by 1)
 select item_id as query_id, 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(c, '') || chr(10) || chr(10) || 'Question: ' || text as prompt from benchmark left join c on item_id = query_id""")
 def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
-    hits = bm25_topk(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 100).alias("content")), "doc_id")
+    hits = bm25_topk(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     return r.prompt(benchmark(spark, sf), hits)
 
 

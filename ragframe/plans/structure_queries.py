@@ -113,10 +113,10 @@ def paragraph_pack(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("doc_id", F.posexplode("parts").alias("part", "x")).select("doc_id", "part", F.length("x").cast("long").alias("n_chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
 
 
-@query("word_wrap", rf"""with b as (select doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') as blocks from documents where n_chars < 5000), p as (select doc_id, {_PACK.format(most=200, sep=" ")} as parts from b)
+@query("word_wrap", rf"""with b as (select doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') as blocks from documents), p as (select doc_id, {_PACK.format(most=200, sep=" ")} as parts from b)
 select doc_id, unnest(range(len(parts)))::int as part, unnest(list_transform(parts, lambda x: length(x)))::bigint as n_chars from p""")
 def word_wrap(spark: SparkSession, sf: str) -> DataFrame:
-    p = chunking.wrapped(table(spark, sf, "documents").filter("n_chars < 5000"), "text", 200)
+    p = chunking.wrapped(table(spark, sf, "documents"), "text", 200)
     return p.select("doc_id", F.posexplode("parts").alias("part", "x")).select("doc_id", "part", F.length("x").cast("long").alias("n_chars"))
 
 

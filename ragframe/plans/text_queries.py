@@ -22,10 +22,10 @@ def fold_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", t.fold(F.col("text")).alias("folded"))
 
 
-@query("line_norm", rf"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '^\s*[•➢][•➢\s]*', '- '), '[•➢]', ' ', 'g'), '\s+', ' ', 'g')) as line, {_SLUG("text[1:80]", "_")} as slug, trim(regexp_replace(text[1:200], '\s+', ' ', 'g'), ' -;') as clean from documents""")
+@query("line_norm", rf"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '^\s*[•➢][•➢\s]*', '- '), '[•➢]', ' ', 'g'), '\s+', ' ', 'g')) as line, {_SLUG("text", "_")} as slug, trim(regexp_replace(text, '\s+', ' ', 'g'), ' -;') as clean from documents""")
 def line_norm(spark: SparkSession, sf: str) -> DataFrame:
-    d, head = table(spark, sf, "documents"), F.substring("text", 1, 80)
-    return d.select("doc_id", t.normalize_line(F.col("text")).alias("line"), t.slug_underscore(head).alias("slug"), t.clean_name(F.substring("text", 1, 200)).alias("clean"))
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", t.normalize_line(F.col("text")).alias("line"), t.slug_underscore(F.col("text")).alias("slug"), t.clean_name(F.col("text")).alias("clean"))
 
 
 _BLOCK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|\z)', '\1', 'g'), '\A\s+', ''), '\s+\z', '')"
