@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragframe.session import settled
+
 #: The six white-space bytes of the word pattern [^\x20\x09-\x0D]+, as a character class for Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -46,11 +47,8 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir); a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ragframe-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
+    return settled(df)
 
 
 def release(spark: SparkSession) -> None:
