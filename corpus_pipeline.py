@@ -6,7 +6,6 @@ documents. run() writes each stage's rows as Parquet in the shared folder and re
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +17,7 @@ from ragframe.llm.neardup import near_duplicates
 from ragframe.llm.packing import pack
 from ragframe.llm.privacy import personal_data
 from ragframe.llm.quality import quality
-from ragframe.session import ship
+from ragframe.session import shared_folder, ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.3
@@ -77,13 +76,12 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can't express the network, the sampling and the search; the stages are tested against brute force.
+#: SQL can't express the network, the sampling and the search; tests hold the stages' rules against plain Python.
 ORACLE_SQL = None
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ragframe-pipeline-")
-    return f"{base}/pipeline-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
