@@ -83,3 +83,21 @@ class Policy:
 
     def latency_budget(self, name: str) -> float:
         return float(self.mode(name).get("latency_budget_ms", 0))
+
+
+def merged(defaults: dict[str, Any], baseline: dict[str, Any], env: dict[str, str], overrides: dict[str, Any] | None = None) -> dict[str, Any]:
+    """Settings by name: overrides before the environment before the baseline before the defaults.
+
+    An empty value of the environment is none. A baseline value of 0, "" or nothing falls back to the default. Values of the environment
+    get the default's type.
+    """
+
+    def read(name: str, default: Any) -> Any:
+        raw = env.get(name.upper(), "").strip()
+        if not raw:
+            return baseline.get(name) or default
+        if isinstance(default, bool):
+            return raw.lower() in ("1", "true", "yes", "on")
+        return type(default)(raw) if isinstance(default, (int, float)) else raw
+
+    return {k: read(k, d) for k, d in defaults.items()} | {k: v for k, v in (overrides or {}).items() if v is not None}

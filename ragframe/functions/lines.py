@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ragframe.functions.text import normalize_line
+from ragframe.functions.text import fold, normalize_line
 
 # Forms of headings, table captions, page numbers and facts.
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
@@ -107,3 +107,13 @@ def fact_alias(line: Column) -> Column:
     key, value = F.trim(F.regexp_extract(body, r"^([^:\n]{2,80}):\s*(.+)$", 1)), F.trim(F.regexp_extract(body, r"^([^:\n]{2,80}):\s*(.+)$", 2))
     ok = (key != "") & (value != "") & ~line.contains(" | ") & ~line.rlike("https?://") & (F.lower(key) != "source")
     return F.when(ok, F.concat(F.lit("Tra cứu nhanh: "), key, F.lit(" là "), value, F.lit(".")))
+
+
+def block_lines(text: Column) -> Column:
+    """The lines of a block in normal form, without empty ones."""
+    return F.filter(F.transform(F.split(text, "\r\n|\r|\n"), normalize_line), lambda x: x != "")
+
+
+def is_low_signal(header: Column) -> Column:
+    """Whether a table's header (an array of cells) names the equipment."""
+    return F.exists(header, lambda x: F.contains(fold(x), F.lit("cac trang thiet bi chinh")))

@@ -52,6 +52,12 @@ def embed(docs: DataFrame, embedder: Embedder, text: str = "text", most: int = 3
 
 
 def hashing_column(text: Column, buckets: int) -> Column:
-    """The hashing embedding as an array of counts, for use within a row."""
+    """The hashing embedding as an array of counts, for use within a row: each token is hashed once."""
     at = F.transform(tokens(text), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % buckets)
-    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+    counts = lambda h: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(h, lambda x: x == i)).cast("double"))
+    return F.get(F.transform(F.array(at), counts), F.lit(0))
+
+
+def embed_or_drop(nodes: DataFrame, embedder: Embedder, text: str = "text", most: int = 3000, batch: int = 4) -> DataFrame:
+    """nodes with `embedding`; those that can't be embedded are left out."""
+    return embed(nodes, embedder, text, most, batch).filter(F.col("embedding").isNotNull())

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,35 +52,54 @@ def ranking_scores(hits: DataFrame, totals: DataFrame, ks: tuple[int, ...] = (1,
     return s.select(*out, F.round(F.coalesce("mrr", F.lit(0.0)), 4).alias("mrr"), F.round(ap, 4).alias("map"))
 
 
-def resampled(rows: DataFrame, rounds: int, seed: str, group: str) -> DataFrame:
-    """group, r, i and the drawn row number idx: draws with replacement, by a digest of seed, round and place.
+@functools.lru_cache(maxsize=8)
+def digests(n: int, rounds: int, seed: str) -> np.ndarray:
+    """(round, place) of numbers by a digest of seed, round and place: the same in every engine."""
+    out = np.empty((rounds, n), np.uint32)
+    for r in range(rounds):
+        out[r] = [int.from_bytes(hashlib.md5(f"{seed}-{r}-{i}".encode()).digest()[:4], "big") for i in range(n)]
+    return out
+
+
+def bootstrap_ci(scores: DataFrame, group: str, value: str, order: str, rounds: int = 2000, seed: str = "42") -> DataFrame:
+    """group, mean, low and high: the 95 % interval of the mean over resamples with replacement, and whether it excludes 0.
 
-    rows: (group, n). A group's n draws of each round are made where its row is; they are numbers, not rows.
+    A group has a score for each example of an evaluation set; its rounds are drawn in one task, as numbers and not as rows.
     """
-    drawn = rows.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r")).select(group, "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("r").cast("string"), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return drawn.select(group, "r", "i", F.pmod(h, F.col("n")).alias("idx"))
-
-
-def bootstrap_ci(scores: DataFrame, group: str, value: str, order: str, rounds: int = 200, seed: str = "42") -> DataFrame:
-    """group, mean, low and high: the 95 % interval of the mean over resamples, and whether it excludes 0."""
-    numbered = scores.withColumn("idx", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long") - 1)
-    n = numbered.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    means = resampled(n.select(group, "n"), rounds, seed, group).join(numbered.select(group, "idx", value), [group, "idx"]).groupBy(group, "r").agg(F.avg(value).alias("m"))
-    at = means.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy("m")))
-    ends = at.groupBy(group).agg(F.max(F.when(F.col("k") == max(1, int(0.025 * rounds)), F.col("m"))).alias("low"), F.max(F.when(F.col("k") == max(1, int(0.975 * rounds)), F.col("m"))).alias("high"))
-    out = n.join(ends, group).select(group, F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
-    return out.withColumn("label", F.when((F.col("low") > 0) | (F.col("high") < 0), "stable").otherwise("overlap_zero"))
-
-
-def permutation_p(diffs: DataFrame, group: str, value: str, order: str, rounds: int = 200, seed: str = "42") -> DataFrame:
-    """group and p: how often random signs give a mean difference as far from 0."""
-    numbered = diffs.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long") - 1)
-    seen = numbered.groupBy(group).agg(F.abs(F.avg(value)).alias("seen"))
-    flips = numbered.select(group, "i", value, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
-    bit = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("r").cast("string"), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 2
-    m = flips.groupBy(group, "r").agg(F.abs(F.avg(F.when(bit == 1, F.col(value)).otherwise(-F.col(value)))).alias("m"))
-    return m.join(seen, group).groupBy(group).agg(F.round((F.sum((F.col("m") >= F.col("seen") - 1e-12).cast("int")) + 1) / (rounds + 1), 4).alias("p"))
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("o", kind="stable")["x"].to_numpy(float)
+        means = np.sort(x[digests(len(x), rounds, seed).astype(np.int64) % len(x)].mean(1))
+        at = lambda q: means[max(1, int(q * rounds)) - 1]
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "mean": x.mean(), "low": at(0.025), "high": at(0.975)})
+
+    kind = scores.schema[group].dataType.simpleString()
+    rows = scores.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("x")).filter("x is not null")
+    out = rows.groupBy("g").applyInPandas(interval, f"g {kind}, mean double, low double, high double")
+    out = out.select(F.col("g").alias(group), F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    return out.withColumn("label", confidence(F.col("low"), F.col("high")))
+
+
+def confidence(low: Column, high: Column, p: Column | None = None) -> Column:
+    """`stable` where the interval excludes 0; with a p value too, that must be below 0.05, else it is `uncertain`."""
+    apart = (low > 0) | (high < 0)
+    if p is None:
+        return F.when(apart, "stable").otherwise("overlap_zero")
+    return F.when(apart & (p < 0.05), "stable").when(~apart, "overlap_zero").otherwise("uncertain")
+
+
+def permutation_p(diffs: DataFrame, group: str, value: str, order: str, rounds: int = 5000, seed: str = "42") -> DataFrame:
+    """group and p: how often random signs give a mean difference as far from 0. Groups as in bootstrap_ci."""
+
+    def extreme(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("o", kind="stable")["x"].to_numpy(float)
+        sign = (digests(len(x), rounds, seed) % 2).astype(float) * 2 - 1
+        far = int((np.abs(sign @ x) / len(x) >= abs(x.mean()) - 1e-12).sum())
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "p": (far + 1) / (rounds + 1)})
+
+    kind = diffs.schema[group].dataType.simpleString()
+    rows = diffs.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("x")).filter("x is not null")
+    return rows.groupBy("g").applyInPandas(extreme, f"g {kind}, p double").select(F.col("g").alias(group), F.round("p", 4).alias("p"))
 
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:

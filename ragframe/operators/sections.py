@@ -144,7 +144,7 @@ def nested_sections(text: str) -> list[Section]:
         if kind == "heading":
             close()
             path = (*(h for h in path if h[0] < level), (level, line))
-            table, fresh = level >= 2 and TABLE_NAME.match(line) is not None, True
+            table = level >= 2 and TABLE_NAME.match(line) is not None
             fresh = not table
         else:
             held.append(line)
@@ -290,7 +290,8 @@ def cut_table(s: Section, most: int) -> list[str]:
     top = [*(f"{'#' * k} {t}" for k, t in s.path), *head]
     out: list[str] = []
     at = [i for i, x in enumerate(data) if is_group_row(x)]
-    for a, b in zip([0, *at], [*at, len(data)], strict=True):
+    starts = sorted({0, *at})
+    for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
         # the rows below one group row
         group = data[a : a + 1] if a in at else []
         own = data[a + len(group) : b]

@@ -82,7 +82,7 @@ def header_fields(rows: DataFrame, doc: str) -> DataFrame:
     level = L.mark_level(line)
     return rows.groupBy(doc).agg(
         F.min_by(L.mark_text(line), F.when(level == 1, F.col("ln"))).alias("title"),
-        F.min_by(F.nullif(F.trim(F.substring(line, 8, 10_000)), F.lit("")), F.when(F.lower(line).startswith("source:"), F.col("ln"))).alias("source_url"),
+        F.min_by(F.nullif(F.trim(F.regexp_replace(line, r"^[^:]*:", "")), F.lit("")), F.when(F.lower(line).startswith("source:"), F.col("ln"))).alias("source_url"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(level.isNotNull(), F.struct("ln", L.mark_text(line).alias("t"))))), lambda x: x["t"]), " > ").alias("headings"),
     )
 
@@ -93,3 +93,11 @@ def flat_sections(rows: DataFrame, doc: str) -> DataFrame:
     x = rows.withColumn("section", F.sum(F.col("line").startswith("#").cast("long")).over(w))
     s = x.groupBy(doc, "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda y: y["line"]).alias("lines"))
     return s.filter(F.exists("lines", lambda y: F.trim(y) != ""))
+
+
+def finalized(rows: DataFrame, titles: DataFrame, doc: str) -> DataFrame:
+    """doc and text: `# title`, then the body with its headings in order and single blank lines, and a line feed at the end. titles: doc, title."""
+    body = collapse_blanks(hierarchy(rows, doc), doc)
+    one = body.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    whole = F.trim(F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.nullif(F.btrim("body", F.lit("\n")), F.lit(""))))
+    return titles.join(one, doc, "left").select(doc, F.concat(whole, F.lit("\n")).alias("text"))

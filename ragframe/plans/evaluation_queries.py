@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ragframe.functions import metrics as m
 from ragframe.operators import evaluation as ev
+from ragframe.operators import retrieval as r
 from ragframe.plans.registry import query, sql_norm, sql_tokens, table
-from ragframe.plans.retrieval_queries import _DVEC, _HYBRID, _LISTS, _TURNS, _WORDS, dense_hits, dvec, hybrid_hits, turns, word_hits
+from ragframe.plans.retrieval_queries import _DVEC, _HYBRID, _LISTS, _TURNS, _WORDS, dense_hits, dvec, turns, word_hits
+from ragframe.session import settled
 
 
 def answered(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +78,8 @@ rel as (select system || ':' || query_id as query_id, system, rank, case when a.
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Graded relevance of the three systems' lists: equal labels 1, some others a half."""
-    x = dense_hits(spark, sf).withColumn("system", F.lit("dense")).unionByName(word_hits(spark, sf).withColumn("system", F.lit("sparse"))).unionByName(hybrid_hits(spark, sf).withColumn("system", F.lit("hybrid")))
+    dense, sparse = settled(dense_hits(spark, sf)), settled(word_hits(spark, sf))  # a few rows for each query, used by three systems
+    x = dense.withColumn("system", F.lit("dense")).unionByName(sparse.withColumn("system", F.lit("sparse"))).unionByName(r.hybrid(dense, sparse).withColumn("system", F.lit("hybrid")))
     v = dvec(spark, sf)
     a, b = v.select(F.col("doc_id").alias("query_id"), F.col("label").alias("la")), v.select("doc_id", F.col("label").alias("lb"))
     rel = F.when(F.col("la") == F.col("lb"), 1.0).when((F.col("la") + F.col("lb")) % 3 == 0, 0.5).otherwise(0.0)
@@ -165,8 +168,8 @@ _IDX = "(('0x' || substr(md5('42-' || r || '-' || i), 1, 8))::bigint)"
 
 def _ci(rows: str) -> str:
     return f"""b as (select *, row_number() over (partition by g order by o) - 1 as idx from ({rows})), n as (select g, count(*) as n, avg(x) as mean from b group by 1),
-dr as (select g, r, i, {_IDX} % n as idx from n, range(200) a(r), range(1000) c(i) where i < n), ms as (select g, r, avg(x) as m from dr join b using (g, idx) group by all),
-k as (select *, row_number() over (partition by g order by m) as k from ms), e as (select g, max(m) filter (where k = 5) as low, max(m) filter (where k = 195) as high from k group by 1)
+dr as (select g, r, i, {_IDX} % n as idx from n, range(2000) a(r), range(1000) c(i) where i < n), ms as (select g, r, avg(x) as m from dr join b using (g, idx) group by all),
+k as (select *, row_number() over (partition by g order by m) as k from ms), e as (select g, max(m) filter (where k = 50) as low, max(m) filter (where k = 1950) as high from k group by 1)
 select g, round(mean, 4) as mean, round(low, 4) as low, round(high, 4) as high, case when round(low, 4) > 0 or round(high, 4) < 0 then 'stable' else 'overlap_zero' end as label from n join e using (g)"""
 
 
@@ -190,8 +193,8 @@ def bootstrap_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("permutation_p", f"""with {_SCORED}, {_PAIRS}, b as (select *, row_number() over (partition by g order by o) - 1 as i from pairs), s as (select g, abs(avg(x)) as seen from b group by 1),
-f as (select g, r, abs(avg(case when {_IDX} % 2 = 1 then x else -x end)) as m from b, range(200) a(r) group by all)
-select g, round((count(*) filter (where m >= seen - 1e-12) + 1) / 201.0, 4) as p from f join s using (g) group by 1""")
+f as (select g, r, abs(avg(case when {_IDX} % 2 = 1 then x else -x end)) as m from b, range(5000) a(r) group by all)
+select g, round((count(*) filter (where m >= seen - 1e-12) + 1) / 5001.0, 4) as p from f join s using (g) group by 1""")
 def permutation_p(spark: SparkSession, sf: str) -> DataFrame:
     return ev.permutation_p(diffs(spark, sf), "g", "x", "o")
 

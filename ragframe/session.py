@@ -1,4 +1,4 @@
-"""Makes the package importable on executors."""
+"""What a session needs: the package on its executors, and the folder that they share."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,3 +27,24 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("ragframe", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. A local master without it, as in tests, gets a temporary one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        if sc.applicationId not in _folders:
+            _folders[sc.applicationId] = tempfile.mkdtemp(prefix="ragframe-shared-")
+        named = _folders[sc.applicationId]
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df in the shared folder: what follows reads it again, and doesn't compute it anew."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
