@@ -44,14 +44,19 @@ class Settings:
 
 
 def training_sample(docs: DataFrame, may_learn: Column, text: str, lang: str, key: str, s: Settings) -> list[tuple[str, str]]:
-    """(text, language) of at most `sample` documents of each language, chosen by a hash of the id."""
-    rank = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k"))
-    pool = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= s.sample_chars)).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    chosen = pool.withColumn("_r", rank).filter(F.col("_r") <= s.sample).select("_k").distinct().limit(s.sample * s.languages)
-    rows = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= s.sample_chars)).join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi").select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).orderBy("k", "t").collect()
-    if len({r.l for r in rows}) > s.languages:
+    """(text, language) of at most `sample` documents of each language, chosen by a hash of the id; equal rows count once.
+
+    Only ids and hashes are ranked; the texts of what is chosen, sample x languages rows at most, come from a second pass.
+    """
+    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"), may_learn.alias("m"))
+    rows = rows.filter("m and l is not null and t is not null").filter(F.length("t") <= s.sample_chars).select("k", "l", F.xxhash64("t").alias("h"), "t")
+    if len(rows.select("l").distinct().limit(s.languages + 1).collect()) > s.languages:
         raise ValueError(f"more than {s.languages} languages")
-    return [(r.t, r.l) for r in rows]
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", "h"))
+    chosen = rows.select("k", "l", "h").distinct().withColumn("r", rank).filter(F.col("r") <= s.sample).select("l", "h", F.coalesce(F.xxhash64("k"), F.lit(0)).alias("kh"))
+    found = rows.withColumn("kh", F.xxhash64("k")).join(F.broadcast(chosen), ["l", "h", "kh"], "left_semi")  # sample x languages rows at most
+    got = found.groupBy("kh", "l", "h").agg(F.min("t").alias("t")).orderBy("kh", "l", "h").collect()
+    return [(r["t"], r["l"]) for r in got]
 
 
 def blocks_of(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

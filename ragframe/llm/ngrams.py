@@ -32,8 +32,6 @@ class Model:
     hashes: int = 5
     #: Base of the logarithm that counts are quantised by.
     base: float = 1.5
-    #: Bigrams counted less often are left out; words never are.
-    least_pair: int = 2
     #: Share of the bigram estimate in a probability.
     pair_share: float = 0.3
     #: Megabytes of documents (as stored) of a block.
@@ -130,6 +128,9 @@ def _dealt(values: np.ndarray, size: np.ndarray) -> list[bytes]:
 def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
+    score interpolates bigrams with words: pair_share * c(h w) / c(h) + (1 - pair_share) * (c(w) + 0.1) / sum, with c as the filter tells it.
+    The words' part sums to 1 exactly; a bigram's counts are quantised apart from its context's, so its part does within some per cent.
+
     Null is an empty text: one token, the end. Without training rows, N and V are 0 and no token is known; base probabilities are
     then 1. Repeated rows count and score as often as they occur. Extra columns are left out.
     """
@@ -160,21 +161,24 @@ def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str
         pu, pinv = np.unique(pk, return_inverse=True)
         pt = np.bincount(pinv, pc, len(pu)).astype(np.int64)
         _, _, bk, bc = received(t, 2)
-        often, known = pt >= m.least_pair, total > 0
+        often, known = pt > 0, total > 0
         all_keys = np.concatenate([u[known], pu[often], bk[:1]])
         all_counts = np.concatenate([total[known], pt[often], [bc.sum()] if len(bk) else []]).astype(np.int64)
         f = Filter({part: build_segment(all_keys, all_counts, m, n)}, n, m)
-        rows = [(b, part, 0, a, lv, 0, 0, 0) for b, a, lv in zip(blocks, _dealt(np.minimum(total, 2**32 - 1).astype("<u4")[inv], size), _dealt(f.level(u).astype(np.uint8)[inv], size), strict=True)]
-        rows += [(b, part, 1, b"", lv, 0, 0, 0) for b, lv in zip(pair_blocks, _dealt(f.level(pu).astype(np.uint8)[pinv], pair_size), strict=True)]
-        rows.append((-1, part, 0, b"", b"", int(total.sum()), int(known.sum()), int(f.level(bk[:1]).sum())))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "part", "kind", "data", "levels", "n_tokens", "n_words", "begin"])
-
-    found = cut(dealt.groupBy("block").applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, part int, kind int, data binary, levels binary, n_tokens long, n_words long, begin long"))
+        rows = [(b, part, 0, a, lv, 0, 0, 0, 0) for b, a, lv in zip(blocks, _dealt(np.minimum(total, 2**32 - 1).astype("<u4")[inv], size), _dealt(f.level(u).astype(np.uint8)[inv], size), strict=True)]
+        rows += [(b, part, 1, b"", lv, 0, 0, 0, 0) for b, lv in zip(pair_blocks, _dealt(f.level(pu).astype(np.uint8)[pinv], pair_size), strict=True)]
+        # what the filter holds of all known words, twice to stay whole: the middle of a level may be a half
+        mass = int(round(2 * f.value[f.level(u[known])].sum()))
+        rows.append((-1, part, 0, b"", b"", int(total.sum()), int(known.sum()), int(f.level(bk[:1]).sum()), mass))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "part", "kind", "data", "levels", "n_tokens", "n_words", "begin", "mass"])
+
+    found = cut(dealt.groupBy("block").applyInArrow(count, KEYS).repartition(n, "part").groupBy("part").applyInArrow(resolve, "block int, part int, kind int, data binary, levels binary, n_tokens long, n_words long, begin long, mass long"))
     release(docs.sparkSession)
-    sums = found.filter("block = -1").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_words").alias("n_words"), F.sum("begin").alias("begin")).first()
-    total, words, begin = (x or 0 for x in sums)
+    sums = found.filter("block = -1").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_words").alias("n_words"), F.sum("begin").alias("begin"), F.sum("mass").alias("mass")).first()
+    total, words, begin, mass = (x or 0 for x in sums)
     norm = total + 0.1 * (words + 1)
+    held = mass / 2 + 0.1 * (words + 1)  # over what the filter tells of all words, so that their probabilities sum to 1
     value = level_value(m.base)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -187,7 +191,7 @@ def language_model(docs: DataFrame, learns: Column, m: Model = Model(), key: str
         rows = texts.num_rows
         base = np.bincount(row, np.log10((c + 0.1) / norm)[inv], rows)
         known = np.bincount(row, (c > 0)[inv], rows).astype(np.int64)
-        alone = (single + 0.1) / norm
+        alone = (single + 0.1) / held
         # what stands before a token is a token too, or the begin
         context = np.where(before == BEGIN, value[begin], single[np.minimum(np.searchsorted(u, before), len(u) - 1)])
         _, pair_inv = np.unique(pair_keys(before, tok), return_inverse=True)

@@ -15,14 +15,16 @@ from ragframe.llm.common import SPACE, SPACE_CHARS
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
+#: How a sentence ends: a mark, then closing quotes and brackets, then white space.
+SENTENCE_END = r'[.!?…:;]["”’»)\]]*[\x20\x09-\x0D]*\z'
 
 
 @dataclass(frozen=True)
 class Rules:
     """Thresholds of the line rules and of the document rule."""
 
-    #: A line of at least so many words must have a sentence end somewhere (punctuation rule).
-    unpunctuated_words: int = 40
+    #: A line of at least so many words must end as a sentence does, quotes and brackets apart (punctuation rule).
+    unpunctuated_words: int = 12
     #: A line fails if it has more exclamation and question marks than this share of its words, when it has four words or more.
     shouting_share: float = 0.5
     #: A line fails if its separators | > » · • reach this share of its words, two at least (navigation rule).
@@ -30,7 +32,12 @@ class Rules:
     #: A line fails if its symbols #*$%&|<> are more than this many for each word.
     symbols_per_word: float = 0.5
     #: Phrases that mark boilerplate, in lower case; a line of at most boilerplate_words words with one of them fails.
-    boilerplate: tuple[str, ...] = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "click here", "sign in to", "subscribe to our")
+    boilerplate: tuple[str, ...] = (
+        "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "click here", "sign in to", "subscribe to our",
+        "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "newsletter abonnieren",
+        "politique de confidentialité", "conditions d’utilisation", "tous droits réservés", "cliquez ici", "abonnez-vous à",
+        "política de privacidad", "política de cookies", "términos de uso", "todos los derechos reservados", "haga clic aquí", "suscríbase a",
+    )
     boilerplate_words: int = 30
     #: A document goes if it keeps less than this share of its words.
     least_kept_share: float = 0.5
@@ -65,7 +72,7 @@ def _stays(x: Column, r: Rules) -> Column:
     phrase = F.lower(line).rlike("|".join(r.boilerplate)) if r.boilerplate else F.lit(False)
     counted = ((n >= 4) & (shouts > n * r.shouting_share)) | ((bars >= 2) & (bars >= n * r.separator_share)) | (symbols > n * r.symbols_per_word)
     # most lines have none of these characters, and need no counts
-    bad = (line.rlike("[!?|>»·•#*$%&<]") & counted) | ((n >= r.unpunctuated_words) & ~line.rlike("[.!?…:;]")) | ((n <= r.boilerplate_words) & phrase)
+    bad = (line.rlike("[!?|>»·•#*$%&<]") & counted) | ((n >= r.unpunctuated_words) & ~line.rlike(SENTENCE_END)) | ((n <= r.boilerplate_words) & phrase)
     return (n == 0) | ~bad
 
 
@@ -74,11 +81,13 @@ def quality(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
 
     Added columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), n_kept_words
     (long, words on lines that stay), clean_text (lines that stay, joined by line feeds). Null is an empty text: no words, so
-    base_failed and not kept. Columns of docs with these names are replaced. Rows are judged alone: copies get equal verdicts.
+    base_failed and not kept. Columns of docs with these names are replaced, others stay, whatever their names. Rows are judged alone:
+    copies get equal verdicts.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words", "clean_text")
-    docs = docs.select(*[c for c in docs.columns if c not in new or c == text])
-    df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    names, at = docs.columns, docs.columns.index(text)
+    # own columns have numbers in here, so that no name clashes
+    df = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_t", F.coalesce(F.col(f"c{at}"), F.lit("")))
     df = with_words(df, "_t", "_w")
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     w5 = F.when(
@@ -109,14 +118,15 @@ def quality(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
     # always true, and never pushed down: a filter by `kept` would else repeat all that stands above inside its condition
     here = F.monotonically_increasing_id() >= 0
     df = df.withColumn("kept", here & ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * rules.least_kept_share))
-    return df.select(*[docs[c] if c == text and c in new else F.col(c) for c in docs.columns], *[c for c in new])
+    own = [i for i, c in enumerate(names) if c not in new or i == at]
+    return df.select(*[f"c{i}" for i in own], *new).toDF(*[names[i] for i in own], *new)
 
 
 def _sql_stays(r: Rules) -> str:
     phrase = " or ".join(f"contains(lower(x.line), '{p}')" for p in r.boilerplate)
     chars = lambda c: f"length(regexp_replace(x.line, '{c}', '', 'g'))"
     return f"""(x.n = 0 or not (
-        (x.n >= {r.unpunctuated_words} and not regexp_matches(x.line, '[.!?…:;]'))
+        (x.n >= {r.unpunctuated_words} and not regexp_matches(x.line, '{SENTENCE_END}'))
         or (x.n >= 4 and {chars('[^!?]+')} > x.n * {r.shouting_share})
         or ({chars('[^|>»·•]+')} >= 2 and {chars('[^|>»·•]+')} >= x.n * {r.separator_share})
         or {chars('[^#*$%&|<>]+')} > x.n * {r.symbols_per_word}

@@ -85,7 +85,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragframe.llm.warc import derivatives, responses
 
     found = derivatives(responses(table(spark, sf_dir, "pages")))
-    return found.withColumn("block", F.when(F.col("warc_type") == "conversion", F.col("block").cast("string"))).withColumnRenamed("block", "text")
+    # blocks of both kinds are text
+    return found.withColumn("block", F.col("block").cast("string")).withColumnRenamed("block", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

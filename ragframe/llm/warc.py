@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "`{key}` {kind}, seq int, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, source_headers string, block binary"
@@ -141,6 +141,21 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     return wanted.mapInPandas(run, SCHEMA.format(key=key, kind=kind))
 
 
+def warc_files(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all WARC files (plain or gzipped) at a path: file, place and the fields of from_bytes(). A file is one task's work."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(name, i, *(r[f] for f in _FIELDS)) for name, data in pdf.itertuples(index=False) for i, r in enumerate(from_bytes(bytes(data)))]
+            yield pd.DataFrame(rows, columns=["file", "place", *_FIELDS])
+
+    kinds = ", ".join(f"{f} {'long' if f == 'content_length' else 'binary' if f == 'block' else 'string'}" for f in _FIELDS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"file string, place int, {kinds}")
+
+
+_FIELDS = ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "payload_digest", "source_headers", "block")
+
+
 def to_bytes(row) -> bytes:
     """A record in WARC/1.1 form."""
     named = [("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Target-URI", row["target_uri"]), ("WARC-Date", row["warc_date"]), ("Content-Type", row["content_type"]), ("WARC-Block-Digest", row["block_digest"]), ("WARC-Payload-Digest", row["payload_digest"]), ("WARC-Source-Headers", row["source_headers"])]
@@ -152,7 +167,10 @@ def to_bytes(row) -> bytes:
 def from_bytes(data: bytes) -> Iterator[dict]:
     """Records of WARC bytes (each member gzipped or not), in order; ends at the first that is cut short."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        try:
+            data = gzip.decompress(data)
+        except (OSError, EOFError):
+            return
     at = 0
     while True:
         end = data.find(b"\r\n\r\n", at)
@@ -160,7 +178,7 @@ def from_bytes(data: bytes) -> Iterator[dict]:
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         h = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(h.get("content-length", "0"))
+        size = int(h["content-length"]) if h.get("content-length", "").isdigit() else 0
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
             return

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ragframe.llm import language as g
@@ -37,6 +38,15 @@ def test_language_held_out(spark, sf):
     assert sum(r.lang_pred == truth[r.doc_id] for r in got) / len(got) > 0.9
 
 
+def test_language_sample_is_bounded_whatever_the_rows(spark):
+    rows = [(1, "same text", "en", 7, "x")] * 50 + [(i, f"text {i}", "en" if i % 2 else "de", 7, "x") for i in range(2, 40)] + [(None, "none", "en", 7, "x"), (3, None, "en", 7, "x"), (4, "t", None, 7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _k int, k string")
+    got = g.training_sample(df, F.lit(True), "text", "lang", "doc_id", g.Settings(sample=12))
+    assert len(got) == 24 and sum(x[1] == "en" for x in got) == 12 and len(set(got)) == 24
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        g.training_sample(df, F.lit(True), "text", "lang", "doc_id", g.Settings(languages=1))
+
+
 def test_language_edges(spark, odd_docs):
     s = g.Settings(epochs=1)
     m = g.train([("the and of to in " * 20, "en"), ("der die und das ist " * 20, "de")], s)
@@ -60,6 +70,18 @@ def test_toxicity_learns_words(spark, prose, odd_docs):
     assert all(r.score == 0 for r in t.toxicity(odd_docs, t.train([], s)).collect())
 
 
+def test_toxicity_on_the_held_out_rows_of_the_table(spark):
+    from ragframe.llm.queries import op2_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").collect()}
+    got = [r for r in op2_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.predicted == (r.score >= 0.3) for r in got)
+    found = [r.predicted for r in got if toxic[r.doc_id]]
+    flagged = [r.predicted for r in got if not toxic[r.doc_id]]
+    assert len(found) > 30 and sum(found) / len(found) >= 0.9 and sum(flagged) / len(flagged) <= 0.05
+
+
 def test_windows_cover_every_word():
     s = t.Settings()
     for n in (1, 5, 24, 25, 36, 37, 100):
@@ -123,18 +145,23 @@ def test_scores_of_many_parts_against_python(spark, sf):
     c, c2 = Counter(w for ws in learned for w in ws), Counter(p for ws in learned for p in zip(ws, ws[1:], strict=False))
     value = level_value(m.base)
     read = lambda n: value[levels(np.array([n]), m.base)[0]] if n else 0.0
-    n, v = sum(c.values()) - len(learned), len(c) - 1
-    norm = n + 0.1 * (v + 1)
+    held = sum(read(k) + 0.1 for w, k in c.items() if w != "<") + 0.1
     total = 0.0
     for r in got:
         want = 0.0
         for a, w in zip(words[r.doc_id], words[r.doc_id][1:], strict=False):
-            alone, context, both = (read(c[w]) + 0.1) / norm, read(c[a]), read(c2[a, w] if c2[a, w] >= m.least_pair else 0)
+            alone, context, both = (read(c[w]) + 0.1) / held, read(c[a]), read(c2[a, w])
             want += math.log10(m.pair_share * min(both, context) / context + (1 - m.pair_share) * alone if context else alone)
         # false hits alone part them
         assert abs(r.score - want) < 0.03 * abs(want) + 2
         total += abs(r.score - want) / abs(want)
     assert len(got) == len(words) and total / len(got) < 0.01
+    # words sum to 1, and bigrams of a context do but for their quantised counts
+    assert abs(sum((read(k) + 0.1) / held for w, k in c.items() if w != "<") + 0.1 / held - 1) < 1e-9
+    after = Counter()
+    for (a, w), k in c2.items():
+        after[a] += min(read(k), read(c[a])) / read(c[a])
+    assert abs(np.mean(list(after.values())) - 1) < 0.05 and max(after.values()) < 1.35
 
 
 def test_base_scores_against_python(spark, sf):

@@ -45,6 +45,19 @@ def test_lines_fall_and_documents_stay(spark):
     assert r.clean_text == good and r.kept
 
 
+def test_quality_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a", "x", 3, "one two. " * 6, True, 5)], "_t string, c0 string, _w int, text string, kept boolean, _lw int")
+    r = quality(df).first()
+    assert (r._t, r.c0, r._w, r._lw, r.n_words, r.kept) == ("a", "x", 3, 5, 12, False)
+
+
+def test_lines_end_as_sentences_do(spark):
+    open_line = "these are rather more than twelve plain words without any end to them at all"
+    ends = [open_line + x for x in (".", "!”", ".)", "…  ", "?»")]
+    t = "\n".join([*ends, open_line, "a short line", "Alle Rechte vorbehalten", "Tous droits réservés 2020"])
+    assert quality(spark.createDataFrame([(t,)], "text string")).first().clean_text == "\n".join([*ends, "a short line"])
+
+
 def test_base_spans_against_python(spark):
     rng = random.Random(3)
     texts = [None, "", "a@b.c@d.e", "x_a@b.c_d@e.f", "1.2.3.4.5.6.7.8 300.1.1.1 0001.02.3.4", "+1 (999) 555-1234+33 1 22 33", "4111 1111 1111 1111 é 4111-1111-1111-1111", "1 2 3 " * 9000, "a" * 50000 + "@", "1" * 50000 + "."]
