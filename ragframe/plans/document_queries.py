@@ -109,7 +109,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     hits = retrieval.bm25(docs, asked, 5).join(docs, "doc_id")
-    source = F.struct("rank", F.col("source").alias("label"), F.substring_index("text", "\n", 1).alias("content"), F.col("doc_id").cast("string").alias("doc"))
+    source = F.struct("rank", F.col("source").alias("label"), F.col("text").alias("content"), F.col("doc_id").cast("string").alias("doc"))
     own = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("s"))
     sentence = lambda c: F.regexp_extract(c, r"^([^.!?\n]*[.!?]?)", 1)
     sources = F.transform("s", lambda x: F.struct(x["label"].alias("label"), x["content"].alias("content"), F.create_map(F.lit("doc"), x["doc"]).alias("metadata")))
