@@ -115,24 +115,28 @@ def row_alias(header: Column, row: Column) -> Column:
     return F.concat(F.lit("Tra cứu bảng: "), F.array_join(parts, "; "))
 
 
-def spans(cells: DataFrame) -> DataFrame:
-    """table_id, row, col and value: a cell over several rows is repeated down, over several columns followed by blanks.
+def spans(cells: DataFrame, key: str = "table_id") -> DataFrame:
+    """key, row, col and value: a cell over several rows is repeated down, over several columns followed by blanks.
 
-    cells: table_id, row, ord, value, rowspan, colspan; a span under 1 is 1. A table's places depend on the rows above, so each table
-    is laid out by itself.
+    cells: key, row, ord, value, rowspan, colspan; a span under 1 is 1, and none goes below the table's last row. A cell's place depends
+    on the rows above, so a table is one row here, and many tables are laid out in one batch.
     """
 
-    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[tuple[int, int], str] = {}
-        for r, _, v, down, over in pdf.sort_values(["row", "ord"])[["row", "ord", "value", "rowspan", "colspan"]].itertuples(index=False):
-            c = 0
-            while (r, c) in held:
-                c += 1
-            for i in range(max(1, int(over))):
-                for j in range(max(1, int(down))):
-                    held[r + j, c + i] = v if i == 0 else ""
-        t = pdf["table_id"].iloc[0]
-        last = pdf["row"].max()
-        return pd.DataFrame([(t, r, c, v) for (r, c), v in sorted(held.items()) if r <= last], columns=["table_id", "row", "col", "value"])
-
-    return cells.groupBy("table_id").applyInPandas(lay, "table_id int, row int, col int, value string")
+    def lay(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in tables:
+            out = []
+            for k, own in zip(pdf[key], pdf["cells"], strict=True):
+                last, held = own[-1]["row"], {}
+                for c in own:
+                    r, col = c["row"], 0
+                    while (r, col) in held:
+                        col += 1
+                    for i in range(max(1, c["colspan"] or 1)):
+                        for j in range(min(max(1, c["rowspan"] or 1), last - r + 1)):
+                            held[r + j, col + i] = c["value"] if i == 0 else ""
+                out.extend((k, r, c, v) for (r, c), v in held.items())
+            yield pd.DataFrame(out, columns=[key, "row", "col", "value"])
+
+    own = F.struct(*[F.col(c).cast("int").alias(c) for c in ("row", "ord")], "value", *[F.col(c).cast("int").alias(c) for c in ("rowspan", "colspan")])
+    one = cells.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("cells"))
+    return one.mapInPandas(lay, f"{key} {cells.schema[key].dataType.simpleString()}, row int, col int, value string")

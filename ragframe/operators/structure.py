@@ -63,17 +63,18 @@ def rebalance(rows: DataFrame, doc: str) -> DataFrame:
 
 
 def hierarchy(rows: DataFrame, doc: str) -> DataFrame:
-    """No heading is more than one level below the one before it. A level depends on the one given before, so each document is a fold."""
-    zero = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<ln:int,line:string>>").alias("out"))
+    """No heading is more than one level below the one before it, and none but the first is of level 1.
 
-    def add(a, x):
-        level = L.mark_level(x["line"])
-        new = F.when(a["last"] == 0, F.when(level == 1, 1).otherwise(2)).otherwise(F.greatest(F.lit(2), F.least(level, a["last"] + 1)))
-        line = F.when(level.isNull(), x["line"]).otherwise(F.concat(F.repeat(F.lit("#"), new), F.lit(" "), L.mark_text(x["line"])))
-        return F.struct(F.when(level.isNull(), a["last"]).otherwise(new).alias("last"), F.concat(a["out"], F.array(F.struct(x["ln"].alias("ln"), line.alias("line")))).alias("out"))
-
-    one = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col("ln").cast("int").alias("ln"), "line"))).alias("r"))
-    return one.select(doc, F.explode(F.aggregate("r", zero, add, lambda a: a["out"])).alias("x")).select(doc, "x.ln", "x.line")
+    The k-th heading's new level is the least of b_j + k - j over the headings j up to it, where b_1 is 1 or 2 and b_j the level, 2 at
+    least: a running minimum in place of a fold.
+    """
+    w = Window.partitionBy(doc).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.col("line")
+    x = rows.withColumn("_l", L.mark_level(line)).withColumn("_k", F.count("_l").over(w))
+    bound = F.when(F.col("_k") == 1, F.least(F.col("_l"), F.lit(2))).otherwise(F.greatest(F.col("_l"), F.lit(2)))
+    x = x.withColumn("_n", F.col("_k") + F.min(F.when(F.col("_l").isNotNull(), bound - F.col("_k"))).over(w))
+    new = F.concat(F.repeat(F.lit("#"), F.col("_n").cast("int")), F.lit(" "), L.mark_text(line))
+    return x.select(doc, F.col("ln").cast("int").alias("ln"), F.when(F.col("_l").isNull(), line).otherwise(new).alias("line"))
 
 
 def header_fields(rows: DataFrame, doc: str) -> DataFrame:

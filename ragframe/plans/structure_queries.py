@@ -53,46 +53,51 @@ def line_classify(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("doc_id", "ln", ln.classify(F.col("line")).alias("line"), ln.heading_level(normalize_line(F.col("line"))).cast("long").alias("level"))
 
 
-#: Shared by both engines: a marked-up document with skipped levels, tables and facts.
-FIXTURE = ["# Guide", "Source: https://example.org/a", "intro", "## I. Plan", "text one", "#### Deep", "deep text", "### Fee: 100", "### Bang 1", "- code | name | quota", "- 1 | a | 5", "- 2 | b | 6", "after table", "## II. Next", "### Bang 2", "- x | y", "- II | z", "tail", "## Empty", "### Inner", "last"]
-_FIX = "f as (select unnest(range(" + str(len(FIXTURE)) + "))::int as ln, unnest([" + ", ".join("'" + x + "'" for x in FIXTURE) + "]) as line)"
+#: What stands around each document's text, in both engines: skipped levels, tables and facts. The levels of two headings go by doc_id.
+_ABOVE = ["# Guide", "Source: https://example.org/a", "intro", "## I. Plan", "text one", "#### Deep", "deep text"]
+_BELOW = ["### Fee: 100", "### Bang 1", "- code | name | quota", "- 1 | a | 5", "", "- 2 | b | 6", "after table", "## II. Next", "### Bang 2", "- x | y", "- II | z", "tail", "## Empty", "### Inner", "last"]
+_MARKED = rf"""d as (select doc_id, {" || chr(10) || ".join(f"'{x}'" for x in _ABOVE)} || chr(10) || repeat('#', 1 + (doc_id % 6)::int) || ' Own' || chr(10) || coalesce(text, '') || chr(10) || {" || chr(10) || ".join(f"'{x}'" for x in _BELOW)} || chr(10) || repeat('#', 6 - (doc_id % 6)::int) || ' End' as text from documents),
+f as (select doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) as line, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 as ln from d),
+m as (select *, nullif(length(regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 1)), 0) as lvl, regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 2) as txt, regexp_matches(line, '^#{{2,6}}\s+Bang\s+\d+\s*$', 'i') as tab, starts_with(line, '- ') and contains(line, ' | ') as trow from f)"""
 
 
-def fixture(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, i, x) for i, x in enumerate(FIXTURE)], "doc_id long, ln int, line string")
-
-
-_MARK = r"m as (select *, nullif(length(regexp_extract(line, '^(#{1,6})\s+(.+?)\s*$', 1)), 0) as lvl, regexp_extract(line, '^(#{1,6})\s+(.+?)\s*$', 2) as txt, regexp_matches(line, '^#{2,6}\s+Bang\s+\d+\s*$', 'i') as tab, starts_with(line, '- ') and contains(line, ' | ') as trow from f)"
+def marked_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of every whole document within the mark-up."""
+    k = (F.col("doc_id") % 6).cast("int")
+    own, end = F.concat(F.repeat(F.lit("#"), 1 + k), F.lit(" Own")), F.concat(F.repeat(F.lit("#"), 6 - k), F.lit(" End"))
+    text = F.concat_ws("\n", F.lit("\n".join(_ABOVE)), own, F.coalesce("text", F.lit("")), F.lit("\n".join(_BELOW)), end)
+    return structure.lines(table(spark, sf, "documents").withColumn("text", text))
 
 
 def _path_sql() -> str:
-    p = ", ".join(f"max(case when lvl = {k} then ln end) over w as p{k}" for k in range(1, 7))
-    keep = [f"case when p{k} is not null and p{k} > greatest(-1{''.join(f', coalesce(p{j}, -1)' for j in range(1, k))}) and not ((select tab from m z where z.ln = p{k}) and coalesce(lb, -1) > p{k}) then (select txt from m z where z.ln = p{k}) end" for k in range(1, 7)]
-    return f"""with {_FIX}, {_MARK}, w as (select *, {p}, max(case when trim(line) <> '' and not trow and lvl is null then ln end) over w as lb from m window w as (order by ln rows unbounded preceding))
-select ln::int as ln, array_to_string(list_filter([{', '.join(keep)}], lambda x: x is not null), ' > ') as path from w where lvl is null"""
+    over = "over (partition by doc_id order by ln rows unbounded preceding)"
+    p = ", ".join(f"max(case when lvl = {k} then ln end) {over} as p{k}, last_value(case when lvl = {k} then txt end ignore nulls) {over} as x{k}, last_value(case when lvl = {k} then tab end ignore nulls) {over} as t{k}" for k in range(1, 7))
+    keep = [f"case when p{k} is not null and p{k} > greatest(-1{''.join(f', coalesce(p{j}, -1)' for j in range(1, k))}) and not (t{k} and coalesce(lb, -1) > p{k}) then x{k} end" for k in range(1, 7)]
+    return f"""with {_MARKED}, w as (select *, {p}, max(case when trim(line) <> '' and not trow and lvl is null then ln end) {over} as lb from m)
+select doc_id, ln::int as ln, array_to_string(list_filter([{', '.join(keep)}], lambda x: x is not null), ' > ') as path from w where lvl is null"""
 
 
 @query("heading_paths", _path_sql())
 def heading_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.heading_paths(fixture(spark), "doc_id").select("ln", "path")
+    return structure.heading_paths(marked_lines(spark, sf), "doc_id").select("doc_id", "ln", "path")
 
 
-@query("heading_rebalance", rf"with {_FIX}, {_MARK}, s as (select min(lvl) filter (where not tab and ln > 0) as low from m where lvl is not null) select ln::int as ln, case when lvl is null or tab or low <= 2 or ln = 0 then line else repeat('#', greatest(2, lvl - (low - 2))) || ' ' || txt end as line from m, s")
+@query("heading_rebalance", rf"with {_MARKED}, s as (select doc_id, min(lvl) filter (where not tab) as low from m where ln > 3 group by 1) select doc_id, ln::int as ln, case when lvl is null or tab or low <= 2 then line else repeat('#', greatest(2, lvl - (low - 2))) || ' ' || txt end as line from m join s using (doc_id) where ln > 3")
 def heading_rebalance(spark: SparkSession, sf: str) -> DataFrame:
-    x = fixture(spark)
-    return structure.rebalance(x.filter("ln > 0"), "doc_id").unionByName(x.filter("ln = 0")).select("ln", "line")
+    """The lines after the first four, whose headings begin deeper than level 2 in many documents."""
+    return structure.rebalance(marked_lines(spark, sf).filter("ln > 3"), "doc_id").select("doc_id", "ln", "line")
 
 
-@query("heading_hierarchy", rf"""with recursive {_FIX}, {_MARK}, h as (select *, row_number() over (order by ln) as k from m where lvl is not null),
-r as (select k, ln, txt, (case when lvl = 1 then 1 else 2 end)::bigint as out from h where k = 1 union all select h.k, h.ln, h.txt, greatest(2, least(h.lvl, r.out + 1))::bigint from h join r on h.k = r.k + 1)
-select ln::int as ln, repeat('#', out) || ' ' || txt as line from r""")
+@query("heading_hierarchy", rf"""with recursive {_MARKED}, h as (select *, row_number() over (partition by doc_id order by ln) as k from m where lvl is not null),
+r as (select doc_id, k, ln, txt, (case when lvl = 1 then 1 else 2 end)::bigint as out from h where k = 1 union all select h.doc_id, h.k, h.ln, h.txt, greatest(2, least(h.lvl, r.out + 1))::bigint from h join r on h.doc_id = r.doc_id and h.k = r.k + 1)
+select doc_id, ln::int as ln, repeat('#', out::int) || ' ' || txt as line from r""")
 def heading_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.hierarchy(fixture(spark), "doc_id").filter(ln.mark_level(F.col("line")).isNotNull()).select("ln", "line")
+    return structure.hierarchy(marked_lines(spark, sf), "doc_id").filter(ln.mark_level(F.col("line")).isNotNull()).select("doc_id", "ln", "line")
 
 
-@query("doc_header_fields", rf"""with {_FIX}, {_MARK} select 0::bigint as doc_id, (select txt from m where lvl = 1 order by ln limit 1) as title, (select trim(line[8:]) from m where lower(line) like 'source:%' order by ln limit 1) as source_url, (select string_agg(txt, ' > ' order by ln) from m where lvl is not null) as headings""")
+@query("doc_header_fields", rf"""with {_MARKED} select doc_id, arg_min(txt, ln) filter (where lvl = 1) as title, arg_min(trim(regexp_replace(line, '^[^:]*:', '')), ln) filter (where lower(line) like 'source:%') as source_url, string_agg(txt, ' > ' order by ln) filter (where lvl is not null) as headings from m group by 1""")
 def doc_header_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.header_fields(fixture(spark), "doc_id")
+    return structure.header_fields(marked_lines(spark, sf), "doc_id")
 
 
 @query("section_flat", f"""with {_LINES}, {_CLASS}, s as (select doc_id, ln, kind_line as line, sum(case when starts_with(kind_line, '#') then 1 else 0 end) over (partition by doc_id order by ln) as section from cl)
@@ -222,10 +227,15 @@ def pdf_page_stats(spark: SparkSession, sf: str) -> DataFrame:
     return layout.extractability(o).select("doc", "page_count", "text_pages", "table_pages", "extractable", "reason")
 
 
-@query("span_expand")
+@query("span_expand", f"""with {_ITEMS}, c as (select l_orderkey as table_id, n as row, l_returnflag || n as a, l_linestatus || n as b, lag(l_returnflag || n) over (partition by l_orderkey order by n) as up from li)
+select table_id, row::int as row, 0 as col, case when row % 2 = 1 then a else up end as value from c union all select table_id, row::int, 1, b from c union all select table_id, row::int, 2, '' from c""")
 def span_expand(spark: SparkSession, sf: str) -> DataFrame:
-    cells = spark.createDataFrame([(1, 0, 0, "a", 2, 1), (1, 0, 1, "b", 1, 2), (1, 1, 0, "c", 1, 1), (1, 1, 1, "d", 0, 1), (1, 2, 0, "e", 1, 1)], "table_id int, row int, ord int, value string, rowspan int, colspan int")
-    return html.spans(cells)
+    """Orders as tables: each odd row's first cell covers two rows, each row's last cell two columns."""
+    i = items(spark, sf).select(F.col("l_orderkey").alias("table_id"), F.col("n").alias("row"), "l_returnflag", "l_linestatus")
+    cell = lambda k, v, down, over: F.struct(F.lit(k).alias("ord"), F.concat(v, F.col("row").cast("string")).alias("value"), F.lit(down).alias("rowspan"), F.lit(over).alias("colspan"))
+    last = cell(1, "l_linestatus", 0, 2)
+    both = F.when(F.col("row") % 2 == 1, F.array(cell(0, "l_returnflag", 2, 1), last)).otherwise(F.array(last))
+    return html.spans(i.select("table_id", "row", F.explode(both).alias("c")).select("table_id", "row", "c.*"))
 
 
 @query("fact_methods", r"""select doc_id, unnest([1, 2])::int as method, unnest(['desc ' || doc_id, 'other ' || source]) as description from documents""")
