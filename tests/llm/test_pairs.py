@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -197,3 +199,39 @@ def test_neighbours_with_repeated_keys_and_vectors_and_clashing_names(spark):
     assert neighbours(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
     texts = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.5, 0.0])], "vec_id string, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in neighbours(texts, F.col("vec_id") == "b").orderBy("rank").collect()] == [("b", "a"), ("b", "c")]
+
+
+def test_classes_of_the_table_against_brute_force(spark):
+    """Every class of the 1000 documents is that of the exact weighted similarities of all pairs of texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, t in texts.items()}
+    first: dict[str, int] = {}
+    label = {k: first.setdefault(texts[k], k) if words[k] else k for k in sorted(texts)}
+    bags = {k: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k, w in words.items() if label[k] == k and w}
+    df = Counter(x for c in bags.values() for x in c)
+    rise = 1 / math.log(len(bags))
+    weight = {k: {x: n * (1 + Near().idf_span * (1 - rise * math.log(df[x]))) for x, n in c.items()} for k, c in bags.items()}
+    holders = defaultdict(list)
+    for k, v in weight.items():
+        for x in v:
+            holders[x].append(k)
+    pairs = {(a, b) for own in holders.values() if len(own) > 1 for a in own for b in own if a < b}
+    links = []
+    for a, b in pairs:
+        low = sum(min(w, weight[b].get(x, 0.0)) for x, w in weight[a].items())
+        if low / (sum(weight[a].values()) + sum(weight[b].values()) - low) >= 0.8 - 1e-6:
+            links.append((a, b))
+    assert links
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != label[b]
+            label[a] = label[b] = low
+    for k in label:
+        if words[k]:
+            label[k] = label[first[texts[k]]]
+    assert got == label
