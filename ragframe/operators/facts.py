@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.functions.lines import cells
 from ragframe.functions.text import clean_name, uuid5_url
 
 # Rules as (relation, pattern) and the phrases of relations.
 RULES = (("HAS_PHONE", r"\+?\d[\d ().-]{7,}\d"), ("HAS_EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+"), ("HAS_YEAR", r"\b20\d{2}\b"))
-PHRASES = {"HAS_PHONE": "có số điện thoại", "HAS_YEAR": "áp dụng cho năm"}
+PHRASES = {
+    "HAS_PHONE": "có số điện thoại",
+    "HAS_YEAR": "áp dụng cho năm",
+    "HAS_SOURCE_FILE": "có nguồn tài liệu",
+    "HAS_ADMISSION_CODE": "có mã tuyển sinh là",
+    "LOCATED_AT": "đặt tại",
+    "HAS_CONTACT_PHONE": "có số điện thoại liên hệ",
+    "HAS_WEBSITE": "có website",
+    "USES_METHOD": "sử dụng phương thức tuyển sinh",
+    "HAS_ADMISSION_YEAR": "có thông tin tuyển sinh năm",
+    "APPLIES_TO_YEAR": "áp dụng cho năm",
+    "HAS_MAJOR_CODE": "có mã ngành",
+    "HAS_QUOTA": "có thông tin chỉ tiêu",
+    "HAS_SUBJECT_COMBINATION": "có tổ hợp xét tuyển",
+    "HAS_ENGLISH_REQUIREMENT": "có điều kiện tiếng Anh",
+    "HAS_SCORE_FACT": "có thông tin điểm chuẩn",
+}
 METHOD = r"(?s)Phương thức (\d+):\s*(.*?)(?=\s*-?\s*Phương thức \d+:|\z)"
 
 
@@ -51,32 +66,6 @@ def methods(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(both).alias("x")).select(key, F.col("x.n").cast("int").alias("method"), clean_name(F.col("x.d")).alias("description"))
 
 
-def table_facts(rows: DataFrame, header: str, line: str, key: str) -> DataFrame:
-    """key, kind, relation and target of quota, subject and score rows of a table.
-
-    A row is a quota row if its header names quotas and a cell a method; a subject row if its header names subject groups and it has
-    five cells or more; a score row if its header names scores. Others, and rows too short for their kind, give nothing.
-    """
-    c = cells(F.col(line))
-    h = F.col(header)
-    kind = (
-        F.when(h.contains("Chỉ tiêu") & F.exists(c, lambda x: x.contains("Phương thức")) & (F.size(c) >= 7), "quota")
-        .when(h.contains("Tổ hợp xét tuyển") & (F.size(c) >= 5), "subject")
-        .when(h.contains("ĐGNL") & (h.contains("Điểm thi") | h.contains("Điểm chuẩn")) & (F.size(c) >= 4), "score")
-    )
-    code = F.try_element_at(F.filter(c, lambda x: x.rlike(r"^\d{6,}[A-Z]*$")), F.lit(1))
-    value = F.filter(c, lambda x: x.rlike(r"^\d+(?:[.,]\d+)?$") & ~x.rlike(r"^\d{6,}"))
-    method = F.filter(c, lambda x: x.contains("Phương thức"))
-    rel = lambda n, v: F.transform(v, lambda x: F.struct(F.lit(n).alias("relation"), x.alias("target")))
-    facts = F.concat(
-        rel("HAS_ADMISSION_CODE", F.when(code.isNotNull(), F.array(code)).otherwise(F.array().cast("array<string>"))),
-        F.when(kind == "quota", F.concat(rel("HAS_QUOTA", F.slice(F.reverse(value), 1, 1)), rel("USES_METHOD", method)))
-        .when(kind == "score", rel("HAS_SCORE", value))
-        .otherwise(rel("HAS_SUBJECTS", F.filter(c, lambda x: x.rlike(r"^[A-D]\d{2}\b")))),
-    )
-    return rows.select(key, kind.alias("kind"), facts.alias("f")).filter("kind is not null").select(key, "kind", F.explode("f").alias("x")).select(key, "kind", "x.relation", "x.target")
-
-
 def carried_group(rows: DataFrame, doc: str, order: str, group: str) -> DataFrame:
     """Each row with the last group row at or before it."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

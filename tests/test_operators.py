@@ -118,12 +118,9 @@ def test_embedder_gives_up_on_one_text(spark):
     assert got[1] == [3.0] and got[2] is None and got[3] == [3.0] and got[4] == [0.0]
 
 
-def test_facts_of_rows_and_methods(spark):
+def test_facts_of_methods(spark):
     df = spark.createDataFrame([(1, "Phương thức 1: a b\n- Phương thức 2: c")], "id long, t string")
     assert [(r.method, r.description) for r in facts.methods(df, "id", "t").orderBy("method").collect()] == [(1, "a b"), (2, "c")]
-    row = spark.createDataFrame([(1, "- Ngành | Chỉ tiêu", "- 1 | 7480201A | CNTT | x | Phương thức 1 | 2 | 50"), (2, "x", "- a | b")], "id long, h string, l string")
-    got = {(r.relation, r.target) for r in facts.table_facts(row, "h", "l", "id").collect()}
-    assert got == {("HAS_ADMISSION_CODE", "7480201A"), ("HAS_QUOTA", "50"), ("USES_METHOD", "Phương thức 1")}
 
 
 def test_lines_of_empty_tables(spark):
