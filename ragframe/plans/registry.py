@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def catalogue() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from ragframe.plans import document_queries, evaluation_queries, fact_queries, more_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401
+    from ragframe.plans import document_queries, evaluation_queries, fact_queries, more_queries, page_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401
 
     return QUERIES, ORACLES
 
