@@ -7,23 +7,12 @@ from pyspark.sql import functions as F
 
 from ragframe.functions import lines as L
 from ragframe.functions.text import normalize_line
-from ragframe.operators.html import rendered
+from ragframe.operators.html import rendered, tidied
 from ragframe.operators.structure import finalized, without_noise
 
-# What a list of contents is called, the sections that end it, and rows that separate.
+# What a list of contents is called, and the sections that end it.
 CONTENTS = ("MỤC LỤC", "MUC LUC")
 ROMAN_SECTION = r"(?i)^(I|II|III|IV|V|VI|VII|VIII|IX|X)[.)]?\s+\S+"
-SEPARATOR = r"^:?-{3,}:?$"
-
-
-def tidied(grid: DataFrame) -> DataFrame:
-    """table_id, row and cells: cells in normal form, without empty cells at a row's end, empty rows and separators, padded to one width."""
-    plain = F.transform("cells", lambda c: normalize_line(F.translate(F.coalesce(c, F.lit("")), "\n", " ")))
-    x = grid.select("table_id", "row", plain.alias("cells"))
-    filled = F.array_max(F.transform("cells", lambda c, i: F.when(c != "", i + 1).otherwise(0)))
-    x = x.withColumn("cells", F.slice("cells", 1, F.coalesce(filled, F.lit(0)))).filter((F.size("cells") > 0) & ~F.forall("cells", lambda c: c.rlike(SEPARATOR)))
-    width = F.max(F.size("cells")).over(Window.partitionBy("table_id"))
-    return x.withColumn("_w", width).select("table_id", "row", F.concat("cells", F.array_repeat(F.lit(""), F.col("_w") - F.size("cells"))).alias("cells"))
 
 
 def page_lines(rows: DataFrame, doc: str) -> DataFrame:

@@ -60,12 +60,9 @@ def test_merging(spark):
     assert [x["text"] for x in got] == ["a\n\nb", "c", "- t"]
 
 
-def test_spans_and_dom(spark):
+def test_spans(spark):
     cells = spark.createDataFrame([(1, 0, 0, "a", 2, 1), (1, 0, 1, "b", 1, 2), (1, 1, 0, "c", 1, 1)], "table_id int, row int, ord int, value string, rowspan int, colspan int")
     assert {(r.row, r.col): r.value for r in html.spans(cells).collect()} == {(0, 0): "a", (0, 1): "b", (0, 2): "", (1, 0): "a", (1, 1): "c"}
-    page = "<html><nav><p>skip</p></nav><article><h1>T</h1><p>a &amp; b<p>a &amp; b</p><script>x</script><li>c</li></article></html>"
-    got = html.dom_lines(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("pos").collect()
-    assert [r.line for r in got] == ["T", "a & b", "c"]
 
 
 def test_reading_order_by_column(spark):
