@@ -12,7 +12,7 @@ from ragframe.operators.chunking import PROFILES, Profile
 from ragframe.operators.embed import hashing_column
 from ragframe.plans.registry import query, table
 from ragframe.session import shared_folder
-from ragframe.sources import jsonl, sinks
+from ragframe.sources import jsonl, records, sinks
 
 
 def marked(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,3 +138,25 @@ def judgment_report(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "labels").withColumn("system", F.lit("s")).withColumnRenamed("doc_id", "example_id")
     b = a.withColumn("quality", F.when(F.col("example_id") % 5 == 0, 0).otherwise(F.col("quality"))).withColumn("toxic", F.when(F.col("example_id") % 3 == 0, 1).otherwise(F.col("toxic")))
     return assessment.judged(a, b, ("quality", "toxic"))
+
+
+def _written_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as JSON lines in the folders of two groups, read back as records."""
+    at = _place(spark, "chunks")
+    d = table(spark, sf, "documents").select((F.col("doc_id") + 1).cast("int").alias("chunk_id"), F.col("source").alias("title"), F.lit("Bang 1").alias("heading_path"), "text")
+    for group, rest in (("web", 0), ("2024", 1)):
+        sinks.to_jsonl(d.filter((F.col("chunk_id") - 1) % 2 == rest), f"{at}/{group}")
+    return records.records(records.numbered_lines(spark, at, glob="*.json"), at)
+
+
+@query("chunk_files", "select case when doc_id % 2 = 0 then 'web' else '2024' end as source_group, doc_id, source as title, 'table_row' as record_type, length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))::bigint as char_count from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def chunk_files(spark: SparkSession, sf: str) -> DataFrame:
+    x = _written_chunks(spark, sf)
+    return x.select("source_group", (F.col("chunk_id") - 1).cast("long").alias("doc_id"), "title", "record_type", "char_count")
+
+
+@query("chunk_group_by_file", "select case when doc_id % 2 = 0 then 'web' else '2024' end as source_group, count(*)::bigint as n_chunks from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by 1")
+def chunk_group_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the files of each group."""
+    files = records.by_file(_written_chunks(spark, sf))
+    return files.groupBy(F.substring_index("relative_path", "/", 1).alias("source_group")).agg(F.sum("n_chunks").alias("n_chunks"))
