@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragframe.functions.lines import classify
-from ragframe.functions.text import normalize_line
-from ragframe.operators.structure import rebalance
+from ragframe.functions.text import normalize_line, slug_from_url
+from ragframe.operators.structure import finalized, rebalance
 
 # Tags that hold content, tags that are left out with all they hold, and containers of content in order of preference.
 CONTENT = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre", "table")
@@ -255,6 +256,28 @@ def grid_lines(df: DataFrame) -> DataFrame:
     return x.withColumn("_lines", F.array_distinct(joined)).drop("_rows", "_width", "_begins", "_groups")
 
 
+def unescaped(text: Column) -> Column:
+    """Text with the characters that entities stand for."""
+
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(unescape, na_action="ignore")
+
+    return F.pandas_udf(each, "string")(text)
+
+
+def page_title(page: Column, url: Column) -> Column:
+    """A page's title as one line, else the slug of its address."""
+    return F.coalesce(F.nullif(normalize_line(unescaped(title(page))), F.lit("")), slug_from_url(url))
+
+
+def web_documents(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """key, url, text and error of each page: its title, source and lines as a finished text. A null or empty page has an error only."""
+    full = pages.filter(F.coalesce(F.col(page), F.lit("")) != "")
+    source = full.select(key, F.lit(-1).alias("ln"), F.concat(F.lit("Source: "), url).alias("line"))
+    done = finalized(source.unionByName(dom_lines(full, key, page)), full.select(key, page_title(F.col(page), F.col(url)).alias("title")), key)
+    return pages.select(key, url).join(done, key, "left").withColumn("error", F.when(F.col("text").isNull(), "empty page"))
+
+
 def built(pages: DataFrame, page: str = "html") -> DataFrame:
     """total and written: pages without content are counted, not raised."""
     return pages.agg(F.count(F.lit(1)).alias("total"), F.count(F.nullif(F.col(page), F.lit(""))).alias("written"))

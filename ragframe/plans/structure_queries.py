@@ -152,6 +152,11 @@ def html_blocks_dom(spark: SparkSession, sf: str) -> DataFrame:
     return html.dom_lines(table(spark, sf, "pages"))
 
 
+@query("web_documents")
+def web_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return html.web_documents(table(spark, sf, "pages")).select("page_id", "error", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("web_build_stats", "select count(*)::bigint as total, count(*) filter (where html is not null and page_id % 9 <> 0)::bigint as written from pages")
 def web_build_stats(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").withColumn("html", F.when(F.col("page_id") % 9 != 0, F.col("html")))

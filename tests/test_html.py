@@ -43,3 +43,10 @@ def test_containers(spark):
 def test_many_elements_take_linear_time(spark):
     page = "".join(f"<div class='content'><p>{i}x</p></div>" for i in range(20000))
     assert len(lines(spark, page)[0]) == 20000
+
+
+def test_web_documents(spark):
+    rows = [(1, "https://a.b/c-d?q", "<title> T &amp;\n x&eacute; </title><h1>2. Deep</h1><p>text</p><table><tr><td>a<td>b</table>"), (2, "https://a.b/c-d", "<p>only</p>"), (3, "u", None), (4, "v", "")]
+    got = {r.page_id: (r.text, r.error) for r in html.web_documents(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("# T & xé\n\nSource: https://a.b/c-d?q\n## Deep\ntext\n### Bang 1\n- a | b\n", None)
+    assert got[2] == ("# a-b-c-d\n\nSource: https://a.b/c-d\nonly\n", None) and got[3] == got[4] == (None, "empty page")
