@@ -124,3 +124,17 @@ def test_lines_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert structure.lines(none).count() == 0
     assert m.bar and retrieval.bm25(none, spark.createDataFrame([], "query_id long, text string")).count() == 0
+
+
+def test_bootstrap_rounds_halves_as_sql(spark):
+    import duckdb
+
+    from ragframe.plans.evaluation_queries import _ci
+
+    rows = [("a", i, v) for i, v in enumerate([0.8702, 0.2868, 0.6031, 0.7775, 0.7161, 0.9154, 0.8604, 0.9182, 0.0266, 0.4372])]
+    con = duckdb.connect()
+    con.execute("create table s (g varchar, o bigint, x double)")
+    con.executemany("insert into s values (?, ?, ?)", rows)
+    want = con.execute("with " + _ci("select g, o, x from s")).fetchall()
+    got = evaluation.bootstrap_ci(spark.createDataFrame(rows, "g string, o long, x double"), "g", "x", "o").collect()
+    assert [tuple(r) for r in got] == want
