@@ -138,3 +138,27 @@ def test_bootstrap_rounds_halves_as_sql(spark):
     want = con.execute("with " + _ci("select g, o, x from s")).fetchall()
     got = evaluation.bootstrap_ci(spark.createDataFrame(rows, "g string, o long, x double"), "g", "x", "o").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_bm25_moves_no_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["ba", "be", "bi", "bo"], k=9) + [f"w{rng.randrange(9000)}" for _ in range(60)]) for _ in range(120)]
+    texts[7:30] = [texts[7]] * 23  # copies tie
+    docs = [(i, x) for i, x in enumerate(texts)] + [(500, None), (501, ""), (None, texts[0])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = retrieval.bm25(df, df.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "query_id"), 5, same=False, block=25)
+    words = [(d, (x or "").split()) for d, x in docs]
+    count = lambda w: sum(w in x for _, x in words)
+    avg = sum(len(x) for _, x in words if x) / sum(bool(x) for _, x in words)
+    idf = {w: math.log(1 + (len(words) - count(w) + 0.5) / (count(w) + 0.5)) for w in {w for _, x in words for w in x}}
+    want = []
+    for q, asked in words:
+        if q is not None and q % 2 == 0:
+            hits = [(-round(sum(idf[w] * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / avg)) for w in set(asked) & set(x)), 4), d) for d, x in words if d not in (None, q) and set(asked) & set(x)]
+            want += [(q, d, -s, i) for i, (s, d) in enumerate(sorted(hits)[:5], 1)]
+    assert len(idf) > 3000  # more than the columns of the matrix product
+    assert sorted(tuple(r) for r in got.select("query_id", "doc_id", "score", "rank").collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
