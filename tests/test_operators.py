@@ -162,3 +162,9 @@ def test_bm25_moves_no_pairs(spark):
     assert len(idf) > 3000  # more than the columns of the matrix product
     assert sorted(tuple(r) for r in got.select("query_id", "doc_id", "score", "rank").collect()) == sorted(want)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mean_of_scores_rounds_halves(spark):
+    rows = spark.createDataFrame([(x,) for x in [0.1068, 0.7026, 0.652, 0.9404, 0.2711, 0.2558, 0.7341, 0.6585, 0.303, 0.6842]], "x double").coalesce(1)
+    got = rows.agg(m.mean_of_scores(F.col("x")).alias("new"), F.round(F.avg("x"), 4).alias("old")).first()
+    assert (got["new"], got["old"]) == (0.5309, 0.5308)  # the exact mean ends in 5
