@@ -157,9 +157,16 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words() with the hash of each."""
-    row, start, end = words(data, off)
-    return row, start, end, span_hash(prefix_hash(data, lower), start, end)
+    """words() with the hash of each. Rows go in pieces: sums take several 64-bit numbers for each byte, and no word crosses a row."""
+    found = []
+    for i, j in pieces(off):
+        d = data[off[i] : off[j]]
+        row, start, end = words(d, off[i : j + 1] - off[i])
+        found.append((row + i, start + off[i], end + off[i], span_hash(prefix_hash(d, lower), start, end)))
+    if not found:
+        z = np.zeros(0, np.int64)
+        return z, z, z, np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def spread(counts: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.llm.blocks import KEYS, blocked, key_table, received, sent
-from ragframe.llm.common import arrow_batches, cut, mix, release, shards, spread, text_bytes, word_hashes
+from ragframe.llm.common import arrow_batches, cut, mix, pieces, release, shards, spread, text_bytes, word_hashes
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -75,18 +75,39 @@ def weighted(row: np.ndarray, sh: np.ndarray, n_rows: int) -> tuple[np.ndarray,
     return row[at], sh[at], np.diff(np.append(at, len(row)))
 
 
+def shingle_counts(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """weighted() of all shingles of the rows, which go in pieces: bounds the working memory."""
+    found = [(row + i, sh, tf) for i, j in pieces(off) for row, sh, tf in [weighted(*shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size), j - i)]]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def idf(df: np.ndarray, texts: int, span: float) -> np.ndarray:
     """From 1 + span (in one text) down to 1 (in all)."""
     return (1 + span * (1 - np.log(np.maximum(df, 1)) / np.log(max(2, texts)))).astype(np.float64)
 
 
-def samples(row: np.ndarray, sh: np.ndarray, weight: np.ndarray, n_rows: int, n: int) -> np.ndarray:
-    """Improved consistent weighted sampling: n samples of each row as hashes of (shingle, quantised weight); (row, n)."""
+def samples(row: np.ndarray, sh: np.ndarray, weight: np.ndarray, n_rows: int, n: int, most: int = 100_000) -> np.ndarray:
+    """Improved consistent weighted sampling: n samples of each row as hashes of (shingle, quantised weight); (row, n).
+
+    Rows go in pieces of about `most` shingles, one row at least: bounds the working memory.
+    """
     out = np.zeros((n_rows, n), np.uint64)
     if not len(row):
         return out
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    rows = row[first]
+    for i, j in pieces(np.append(first, len(row)), most):
+        a, b = first[i], first[j] if j < len(first) else len(row)
+        out[row[first[i:j]]] = _samples(sh[a:b], weight[a:b], first[i:j] - a, n)
+    return out
+
+
+def _samples(sh: np.ndarray, weight: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """samples() of the rows that begin at `first`, all of them."""
+    out = np.zeros((len(first), n), np.uint64)
+    size = np.diff(np.append(first, len(sh)))
+    at = np.repeat(np.arange(len(first)), size)
     log_w = np.log(weight)
     unit = lambda k, j: ((mix(sh + np.uint64((5 * k + j + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
     for k in range(n):
@@ -96,11 +117,10 @@ def samples(row: np.ndarray, sh: np.ndarray, weight: np.ndarray, n_rows: int, n:
         t = np.floor(log_w / r + beta)
         log_a = np.log(c) - r * (t - beta) - r
         low = np.minimum.reduceat(log_a, first)
-        best = np.flatnonzero(log_a == np.repeat(low, np.diff(np.append(first, len(row)))))
+        best = np.flatnonzero(log_a == np.repeat(low, size))
         # a tie goes to the smaller hash, which comes first
-        keep = np.concatenate([[True], row[best][1:] != row[best][:-1]])
-        best = best[keep]
-        out[rows, k] = mix(sh[best] * _STEP + t[best].astype(np.int64).astype(np.uint64))
+        best = best[np.concatenate([[True], at[best][1:] != at[best][:-1]])]
+        out[:, k] = mix(sh[best] * _STEP + t[best].astype(np.int64).astype(np.uint64))
     return out
 
 
@@ -137,7 +157,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
             return key_table([])
         block = t["block"][0].as_py()
         data, off = text_bytes(t["text"])
-        row, sh, _ = weighted(*shingles(data, off, s.shingle), t.num_rows)
+        _, sh, _ = shingle_counts(data, off, s.shingle)
         u, c = np.unique(sh, return_counts=True)
         return key_table(list(sent(block, 0, u, c, n)))
 
@@ -174,7 +194,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_i
         order = np.argsort(keys)
         keys, df = keys[order], df[order]
         data, off = text_bytes(t["text"])
-        row, sh, tf = weighted(*shingles(data, off, s.shingle), t.num_rows)
+        row, sh, tf = shingle_counts(data, off, s.shingle)
         at = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
         often = keys[at] == sh
         weight = tf * idf(np.where(often, df[at], 1), texts, s.idf_span)

@@ -93,6 +93,42 @@ def test_samples_agree_as_often_as_weights_overlap():
     assert abs(jaccard(x, y) - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 1e-6
 
 
+def test_signing_a_block_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ragframe.llm import neardup
+    from ragframe.llm.common import text_bytes, word_hashes
+
+    rng = random.Random(1)
+    some = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(1000)]
+    texts = ["", " \n ", None, *some, *some, *some, "one", "x " * 2_000_000, ""]  # the long row is over a piece alone
+    data, off = text_bytes(pa.array(texts))
+    row, start, end, h = word_hashes(data, off)
+    at = len(row) - 2_000_001  # the long row is all but equal; before it, hashes don't depend on the place
+    assert row[at] == len(texts) - 3 and [len(x) for x in (start, end, h)] == [len(row)] * 3 and data[start[at] : end[at]].tobytes() == b"one"
+    assert np.array_equal(h[:300_000], h[300_000:600_000]) and len(np.unique(h[-2_000_000:])) == 1
+
+    def peak(f):
+        tracemalloc.start()
+        got = f()
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, held / 1e6
+
+    data, off = text_bytes(pa.array(some * 3))
+    word_hashes(data, off)  # tables of powers are kept
+    _, held = peak(lambda: word_hashes(data, off))
+    assert held < 12 * len(data) / 1e6  # 19 bytes for each of the text before
+    row, sh, tf = neardup.weighted(*neardup.shingles(data, off, 5), 3000)
+    sig, held = peak(lambda: neardup.samples(row, sh, tf.astype(float), 3000, 27))
+    assert held < 40  # 72 MB before
+    one = neardup.samples(row[: len(row) // 3], sh[: len(row) // 3], tf[: len(row) // 3].astype(float), 1000, 27)
+    assert np.array_equal(sig[:1000], one) and np.array_equal(sig[2000:], one)
+    assert all(np.array_equal(x, y) for x, y in zip(neardup.shingle_counts(data, off, 5), (row, sh, tf), strict=True))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
