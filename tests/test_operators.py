@@ -168,3 +168,19 @@ def test_mean_of_scores_rounds_halves(spark):
     rows = spark.createDataFrame([(x,) for x in [0.1068, 0.7026, 0.652, 0.9404, 0.2711, 0.2558, 0.7341, 0.6585, 0.303, 0.6842]], "x double").coalesce(1)
     got = rows.agg(m.mean_of_scores(F.col("x")).alias("new"), F.round(F.avg("x"), 4).alias("old")).first()
     assert (got["new"], got["old"]) == (0.5309, 0.5308)  # the exact mean ends in 5
+
+
+def test_texts_without_a_vector_are_not_moved_wherever_their_ids_lie(spark, tmp_path):
+    from ragframe.plans import retrieval_queries as rq
+
+    # copies with shifted keys: the vectors' ids have gaps, and nearly all texts lie within their range
+    have = [0, 1, 2, 100_000, 100_001, 100_001, 199_999, None]
+    spark.range(200_000).selectExpr("id as doc_id", "'t' || id as text").unionByName(spark.sql("select null as doc_id, 'none' as text union all select 2L, 'again'")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0], 0) for i in have], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((x.doc_id, x.text) for x in rq.dvec(spark, str(tmp_path)).collect())
+    assert got == sorted([(i, f"t{i}") for i in have if i is not None] + [(2, "again")])
+    docs, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([(i,) for i in have], "doc_id int")
+    assert {x.doc_id for x in retrieval.likely(docs, ids, "doc_id").collect()} >= {i for i in have if i is not None}
+    assert retrieval.likely(docs, ids, "doc_id").count() < 30
+    assert retrieval.likely(docs, ids, "doc_id", 4).count() >= 8  # few bits let more through, and lose none
+    assert retrieval.likely(docs, ids.filter("doc_id < 0"), "doc_id").count() == 0
