@@ -184,3 +184,29 @@ def test_texts_without_a_vector_are_not_moved_wherever_their_ids_lie(spark, tmp_
     assert retrieval.likely(docs, ids, "doc_id").count() < 30
     assert retrieval.likely(docs, ids, "doc_id", 4).count() >= 8  # few bits let more through, and lose none
     assert retrieval.likely(docs, ids.filter("doc_id < 0"), "doc_id").count() == 0
+
+
+def test_word_list_moves_no_text(spark, tmp_path):
+    import os
+    import random
+
+    from ragframe.plans import retrieval_queries as rq
+
+    rng, root = random.Random(5), spark.sparkContext._jsc.sc().getCheckpointDir
+    texts = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(4000))) for i in range(120)] + [(None, "w1 w2"), (130, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    have = [i for i in range(0, 120, 2)] + [130, 900, None]
+    spark.createDataFrame([(i, [1.0, float(i or 0)], 0) for i in have], "vec_id int, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root().get().removeprefix("file:")) for f in names) if root().isDefined() else 0
+    before = size()
+    got = rq.word_hits(spark, str(tmp_path))
+    rows = got.collect()
+    assert {x.query_id for x in rows} == {0, 50, 100}
+    assert {x.doc_id for x in rows} <= set(have)
+    assert size() - before < sum(len(x or "") for i, x in texts if i in have) / 8  # texts, if kept, would be there
+    docs, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([(i,) for i in have], "doc_id int")
+    want = sorted(i for i in have if i is not None and i != 900)
+    for bits, most in ((1 << 25, 500_000), (64, 500_000), (4, 500_000), (4, 0)):  # few bits let all through; none is left in or out for that
+        assert sorted(x.doc_id for x in retrieval.held(docs, ids, "doc_id", bits, most).collect()) == want
+    assert "hashpartitioning" not in retrieval.held(docs, ids, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert retrieval.held(docs, ids.filter("doc_id < 0"), "doc_id").count() == 0
