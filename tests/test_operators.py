@@ -210,3 +210,26 @@ def test_word_list_moves_no_text(spark, tmp_path):
         assert sorted(x.doc_id for x in retrieval.held(docs, ids, "doc_id", bits, most).collect()) == want
     assert "hashpartitioning" not in retrieval.held(docs, ids, "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert retrieval.held(docs, ids.filter("doc_id < 0"), "doc_id").count() == 0
+
+
+def test_dense_products_are_bounded():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(10_000, 8))
+    x[7000:7010] = x[100]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ids = list(range(0, 10_000, 5))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + n)), pa.array(list(x[lo : lo + n]))], ["id", "v"]) for lo, n in ((0, 9990), (9990, 10))]
+    tracemalloc.start()
+    found = retrieval._nearest(iter(batches), ids, unit[ids], 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all queries by all nodes are 160 MB
+    score = np.round(np.maximum(0, unit[ids] @ unit.T), 6)
+    for i in (0, 20, 1402, 1999):
+        best = sorted((-s, j) for j, s in enumerate(score[i].tolist()) if j != ids[i])[:6]
+        assert [(j, s) for own, j, s in found if own == ids[i]] == [(j, -s) for s, j in best]
